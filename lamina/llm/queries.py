@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import langid, packing
+from lamina.llm import langid, mixing, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": langid.query,
     "op4_best_fit_packing": packing.query,
+    "op5_source_mixing": mixing.query,
+    "op6_quality": quality.query,
+    "op7_secrets": secrets.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_secrets": secrets.ORACLE_SQL,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import langid, mixing, packing, quality, secrets
+from lamina.llm import jaccard, langid, mixing, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": langid.query,
@@ -14,8 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": mixing.query,
     "op6_quality": quality.query,
     "op7_secrets": secrets.query,
+    "op8_jaccard_join": jaccard.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_secrets": secrets.ORACLE_SQL,
+    "op8_jaccard_join": jaccard.ORACLE_SQL,
 }

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bitslice, html, jaccard, langid, mixing, packing, quality, secrets, spans
+from lamina.llm import ann, bitslice, html, jaccard, langid, mixing, packing, quality, secrets, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_inverted_file_pq": ann.query,
     "op2_bit_sliced_topk": bitslice.query,
     "op3_language_id": langid.query,
     "op4_best_fit_packing": packing.query,

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lamina.plans import matching, records
 
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**records.QUERIES, **matching.QUERIES}
+
+ORACLE_SQL: dict[str, str] = {**records.ORACLE_SQL, **matching.ORACLE_SQL}

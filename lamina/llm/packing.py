@@ -15,6 +15,7 @@ truncated; repeated rows are packed once each; an empty table gives no rows. Onl
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,7 +31,7 @@ CAPACITY = 2048
 OPEN_BINS = 512
 PIECES_PER_PACKER = 16_384
 CLOSING_ID = 0
-CACHE_BYTES = 64 << 20
+CACHE_WORDS = 300_000
 LONGEST_CACHED = 48
 TOKENIZER = "word_bpe_49k.json"
 
@@ -41,43 +42,66 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-class WordEncoder:
-    """Little-endian uint32 ids of a text, as bytes. Splits at ASCII white space, which the vocabulary drops."""
+def _byte_letters() -> list[str]:
+    """The printable character by which byte-level vocabularies write each byte: itself, or the next free one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, free = [], 256
+    for byte in range(256):
+        out.append(chr(byte if byte in plain else free))
+        free += byte not in plain
+    return out
+
+
+class WordEncoder(dict):
+    """Blank-separated part of a text -> its little-endian uint32 ids, as bytes. What is missing is worked out and kept; of two
+    generations of CACHE_WORDS entries at most, the older one goes when the younger is full, but for what was used again."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.size = 0
-
-    def _fresh(self, words: list[bytes]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in coded]
-
-    def prepare(self, texts: list[bytes]) -> None:
-        """Encodes in one call the words of a batch that aren't known yet."""
-        known = self.known
-        fresh: set[bytes] = set()
-        for text in texts:
-            fresh.update(w for w in set(text.split()) if w not in known)
-        words = [w for w in fresh if len(w) <= LONGEST_CACHED]
-        if self.size > CACHE_BYTES:
-            known.clear()
-            self.size = 0
-        for at in range(0, len(words), 8192):
-            part = words[at : at + 8192]
-            for word, ids in zip(part, self._fresh(part), strict=True):
-                known[word] = ids
-                self.size += len(word) + len(ids) + 160
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(_byte_letters()))
+        self.older: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._fresh(word)
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _fresh(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "\u0250":
+            # one word of Latin letters: no need to go through the text pipeline
+            lower = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
+            if lower.isalpha():  # a capital may become a letter and a mark
+                coded = self.model.tokenize(lower.encode().decode("latin-1").translate(self.letters))
+                return np.array([t.id for t in coded], dtype="<u4").tobytes()
+        if text[-1] in ".,;:" and text[-2:-1].isalpha():
+            return self[word[:-1]] + self[word[-1:]]
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        known = self.known
-        words = text.split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            return b"".join([known[w] if w in known else self._fresh([w])[0] for w in words])
+        """Splits at ASCII white space, which the vocabulary drops."""
+        if b"<|" not in text:
+            text = text.lower()  # of ASCII letters, as the vocabulary does; names of special tokens are as they are
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, so that later tasks find the words of earlier ones."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -85,17 +109,16 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        coder = encoder(path)
         closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = [b"" if t is None else t for t in part.column("text").cast(pa.binary()).to_pylist()]
-                encoder.prepare(texts)
                 row, piece, start, length, crc = [], [], [], [], []
                 for k, text in enumerate(texts):
-                    ids = encoder.encode(text) + closing
+                    ids = coder.encode(text) + closing
                     for n, first in enumerate(range(0, len(ids), step)):
                         own = ids[first : first + step]
                         row.append(k)

@@ -108,12 +108,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     a, b = _coefficients()
     for batch in batches:
-        n, sig = [], []
+        n, sig, short = [], [], []
         for text in batch.column("text"):
             tokens = shingler.set(text.as_py())
             n.append(len(tokens))
-            sig.append(minima(tokens, a, b).tobytes() if len(tokens) else b"")
-        yield pa.RecordBatch.from_arrays([batch.column("rec"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["rec", "doc_id", "n", "sig"])
+            least = minima(tokens, a, b) if len(tokens) else np.zeros(0, dtype="<u4")
+            sig.append(least.tobytes())
+            short.append((least & 0xFF).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("rec"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(short, pa.binary())], names=["rec", "doc_id", "n", "sig", "short"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -123,10 +125,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def records(docs: DataFrame) -> DataFrame:
-    """rec, first (the least doc_id), copies, n (shingles) and sig of each different text."""
+    """rec, first (the least doc_id), copies, n (shingles), sig and short (one byte a slot) of each different text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = _keyed(docs).mapInArrow(_signatures, f"rec binary, doc_id {kind}, n long, sig binary")
-    return signed.groupBy("rec").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    signed = _keyed(docs).mapInArrow(_signatures, f"rec binary, doc_id {kind}, n long, sig binary, short binary")
+    return signed.groupBy("rec").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("short").alias("short"))
 
 
 def _slot(sig: Column, slot: Column | int) -> Column:
@@ -148,7 +150,7 @@ def leaves(recs: DataFrame, n_runs: int) -> tuple[DataFrame, DataFrame]:
     for level in range(1, DEPTH + 1):
         large = counts.where(F.col("size") > LEAF)
         small = counts.where(F.col("size") <= LEAF)
-        members.append(rows.join(small, "node", "left_semi").select("node", "rec"))
+        members.append(rows.join(small.hint("merge"), "node", "left_semi").select("node", "rec"))
         stats.append(small)
         if not large.take(1):
             break
@@ -177,12 +179,12 @@ def leaves(recs: DataFrame, n_runs: int) -> tuple[DataFrame, DataFrame]:
 
 
 def cells(recs: DataFrame, members: DataFrame, stats: DataFrame) -> DataFrame:
-    """leaf, cell, block and rec with its n, sig and leaves: who meets whom."""
+    """leaf, cell, block and rec with its n, sig (one byte a slot) and leaves: who meets whom."""
     big = (F.col("size") > LEAF) | (F.col("shingles") > BLOCK_SHINGLES)
     rank = F.when(big, F.pmod(F.col("leaf"), F.lit(_BIG))).otherwise(F.pmod(F.col("leaf"), F.lit(_BIG)) + _BIG)
     ranked = staged(stats.select("leaf", rank.alias("rank")))
     own = members.join(ranked, "leaf").groupBy("rec").agg(F.sort_array(F.collect_set("rank")).alias("leaves"))
-    at = staged(own.join(recs.select("rec", "n", "sig"), "rec").select("rec", "n", "sig", "leaves", F.explode("leaves").alias("leaf")))
+    at = staged(own.join(recs.select("rec", "n", F.col("short").alias("sig")), "rec").select("rec", "n", "sig", "leaves", F.explode("leaves").alias("leaf")))
     small = at.where(F.col("leaf") >= _BIG).select("leaf", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("block"), "rec", "n", "sig", "leaves")
     large = at.where(F.col("leaf") < _BIG).withColumn("cover", F.when(F.col("leaves")[0] < F.col("leaf"), F.col("leaves")[0]).otherwise(F.lit(-1)))
     per = large.groupBy("leaf", "cover").agg(F.greatest(F.ceil(F.count("*") / LEAF), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -233,7 +235,7 @@ def likely(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return none, none
     n = group.column("n").to_numpy()
     block = group.column("block").to_numpy()
-    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype="<u4").reshape(size, SLOTS)
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint8).reshape(size, SLOTS)
     apart = block.min() != block.max()
     left, right = [], []
     for i in range(size - 1):
@@ -341,7 +343,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             tokens = [shingler.set(t.as_py()).tobytes() for t in part.column("text")]
-            yield pa.RecordBatch.from_arrays([part.column("rec"), pa.array(tokens, pa.binary())], names=["rec", "tokens"])
+            names = [x for x in part.schema.names if x != "text"]
+            yield pa.RecordBatch.from_arrays([*[part.column(x) for x in names], pa.array(tokens, pa.binary())], names=[*names, "tokens"])
 
 
 _CELL = "leaf long, cell long, block int, rec binary, n long, sig binary, leaves array<long>"
@@ -355,11 +358,12 @@ def links(docs: DataFrame, recs: DataFrame, n_runs: int) -> DataFrame:
     """rec, links, least for each cell in which a record has links; each link between different texts counts once."""
     members, stats = leaves(recs, n_runs)
     active = staged(_by_cell(cells(recs, members, stats), _active, _CELL))
-    wanted = staged(active.select("rec").distinct().join(recs.select("rec", F.col("first").alias("doc_id")), "rec"))
-    texts = _keyed(docs).join(wanted, ["doc_id", "rec"], "left_semi")
-    # rows that repeat a doc_id and text are one record
-    sets = staged(texts.select("rec", "text").mapInArrow(_sets, "rec binary, tokens binary")).groupBy("rec").agg(F.first("tokens").alias("tokens"))
-    return staged(_by_cell(active.join(sets, "rec"), _linked, "rec binary, links long, least binary"))
+    wanted = staged(active.join(recs.select("rec", F.col("first").alias("doc_id")), "rec").select("doc_id", *active.columns))
+    # the same plan at every size: texts meet the records that ask for them by (doc_id, rec), which no group of copies makes hot
+    keys = ["doc_id", "rec"]
+    texts = _keyed(docs).join(wanted.select(*keys).hint("merge"), keys, "left_semi").dropDuplicates(keys)
+    sets = texts.join(wanted.hint("merge"), keys).select(*active.columns, "text").mapInArrow(_sets, f"{_CELL}, tokens binary")
+    return staged(_by_cell(sets, _linked, "rec binary, links long, least binary"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.plans import matching, records
+from lamina.plans import matching, narrative, records, views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**records.QUERIES, **matching.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**records.QUERIES, **matching.QUERIES, **narrative.QUERIES, **views.QUERIES}
 
-ORACLE_SQL: dict[str, str] = {**records.ORACLE_SQL, **matching.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**records.ORACLE_SQL, **matching.ORACLE_SQL, **narrative.ORACLE_SQL, **views.ORACLE_SQL}

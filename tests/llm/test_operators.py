@@ -1,0 +1,386 @@
+"""The operators of lamina.llm against brute force, and on awkward rows: nulls, empty and long texts, ties, repeats, empty tables, other columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lamina.llm import ann, bitslice, common, html, jaccard, langid, mixing, packing, quality, secrets, spans
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank int, score double, hash string, block int, rec string, key string"
+
+
+def docs(spark, texts, langs=None, sources=None, first=0):
+    rows = [(first + k, t, (langs or ["en"] * len(texts))[k], (sources or ["s"] * len(texts))[k], len(t or ""), 1, 0.5, "h", 2, "r", "k") for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+AWKWARD = [None, "", "   \n\t ", "a", "é 😀 漢字", "word " * 30000, "x" * 60000, "same text here now ok", "same text here now ok"]
+
+
+def prose(rng, n, letters="abcdefgh"):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+def test_language_is_learned_and_awkward_texts_are_und(spark):
+    rng = random.Random(1)
+    texts = [prose(rng, 20, "abc") if k % 2 else prose(rng, 20, "xyz") for k in range(60)]
+    train = docs(spark, texts, ["p" if k % 2 else "q" for k in range(60)])
+    model = langid.fit(train)
+    got = {r["doc_id"]: r for r in langid.predict(docs(spark, [*AWKWARD, "abc cab " * 50000, "zyx xzy", "1234"]), model).collect()}
+    assert [got[k]["lang_pred"] for k in (0, 1, 2)] == ["und"] * 3 and got[0]["score"] == 0.0
+    assert got[9]["lang_pred"] == "p" and got[10]["lang_pred"] == "q" and got[11]["lang_pred"] == "und"
+    assert all(0 <= r["score"] <= 1 for r in got.values()) and all(r["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1) for k, r in got.items())
+    assert {r["lang_pred"] for r in langid.predict(docs(spark, ["abc"]), langid.fit(train.limit(0))).collect()} == {"und"}
+    assert langid.predict(docs(spark, []), model).count() == 0
+
+
+def test_a_prediction_does_not_depend_on_its_neighbours(spark):
+    rng = random.Random(2)
+    texts = [prose(rng, 15, "abcxyz") for _ in range(30)]
+    model = langid.fit(docs(spark, texts, ["p" if k % 2 else "q" for k in range(30)]))
+    together = {r["doc_id"]: r["score"] for r in langid.predict(docs(spark, texts).coalesce(1), model).collect()}
+    alone = {k: langid.predict(docs(spark, [texts[k]], first=k), model).first()["score"] for k in (0, 7, 29)}
+    assert all(together[k] == pytest.approx(v, abs=1e-12) for k, v in alone.items())
+
+
+def test_pieces_are_the_tokenizers_ids(spark):
+    from tokenizers import Tokenizer
+
+    texts = [*AWKWARD, "Don't we'll 12ab3 co-op É\xa0x <|endoftext|>A <|ENDOFTEXT|> ΣΑΣ. İx ...,. a., ß ǅ 漢字 \x1cz x\x85y q​w", "<|startoftext|>the."]
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    got = packing.pack_documents(docs(spark, texts)).collect()
+    by_doc = {}
+    for r in got:
+        by_doc.setdefault(r["doc_id"], {})[r["piece"]] = (r["start"], r["length"], r["ids_crc32"])
+    for k, t in enumerate(texts):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        assert by_doc[k] == {n: (a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], dtype="<u4").tobytes())) for n, a in enumerate(range(0, len(ids), 2048))}
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(x for _, x in own[:k]) for k in range(len(own))] and sum(x for _, x in own) <= 2048
+    assert packing.pack_documents(docs(spark, [])).count() == 0
+
+
+def test_best_fit_against_a_plain_model():
+    rng = random.Random(3)
+    lengths = [rng.randint(1, 100) for _ in range(3000)]
+    bins, offsets = packing.best_fit(lengths, 100, 8)
+    free, order, made, want = {}, [], 0, []
+    for x in lengths:
+        fit = [b for b in order if free[b] >= x]
+        if fit:
+            least = min(free[b] for b in fit)
+            b = [b for b in fit if free[b] == least][-1]
+        else:
+            if len(order) == 8:
+                order.remove(next(b for b in order if free[b] == min(free[c] for c in order)))
+            b, free[made] = made, 100
+            order.append(made)
+            made += 1
+        want.append(100 - free[b])
+        free[b] -= x
+        order.remove(b)
+        if free[b]:
+            order.append(b)
+    assert max(bins) + 1 == made and sorted(offsets) == sorted(want)
+
+
+def test_targets_are_filled_by_weight():
+    assert mixing.targets([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
+    got = mixing.targets([1, 1000, 1000], [3, 1, 2])
+    assert got[0] == 3 and got[1:] == [pytest.approx(1998 / 3), pytest.approx(2 * 1998 / 3)]
+    assert mixing.targets([0, 10], [1, 2]) == [0, 10]
+
+
+def test_mix_meets_targets_and_repeats_itself(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, rng.randint(1, 30)) for _ in range(400)] + [None, "", "  "]
+    sources = [rng.choice(["a", "b", "b", "b", "é", None]) for _ in texts]
+    df = docs(spark, texts, sources=sources)
+    planned = mixing.plan(common.staged(mixing.sizes(df))).collect()
+    assert len(planned) == len(texts)
+    for s in ("a", "b", "é", None):
+        own = [r for r in planned if r["source"] == s]
+        assert sum(r["size"] for r in own) == own[0]["source_size"] == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t, x in zip(texts, sources, strict=True) if x == s)
+        assert abs(sum(r["size"] * len(r["shards"]) for r in own) - own[0]["target"]) <= 30 and all(len(r["shards"]) <= 3 for r in own)
+    mixed = mixing.mix(df, shard_words=1000)
+    assert mixed.columns == df.columns
+    counts = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert counts == {r["doc_id"]: len(r["shards"]) for r in planned if r["shards"]}
+    assert sorted(map(str, mixing.mix(df, shard_words=1000).collect())) == sorted(map(str, mixed.collect()))
+    assert mixing.mix(docs(spark, [])).count() == 0
+
+
+def test_splitting_tree_is_exact():
+    rng = np.random.default_rng(1)
+    quotas = np.array([100, 7, 0, 53])
+    for shards in (1, 3, 8):
+        split = mixing.split_quotas(quotas, shards, rng)
+        assert (split.sum(axis=0) == quotas).all() and split.sum(axis=1).max() - split.sum(axis=1).min() <= shards
+
+
+def test_quality_separates_and_scores_every_row(spark):
+    rng = random.Random(5)
+    good = [prose(rng, 60).capitalize() + ".\n" for _ in range(80)]
+    bad = [(prose(rng, 5).upper() + "!! ") * 12 for _ in range(80)]
+    df = docs(spark, [x for pair in zip(good, bad, strict=True) for x in pair])
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(160)] + [(3, 0, 0), (None, 1, 0), (5, None, 0), (7, 9, 0)], "doc_id long, quality int, toxic int")
+    out = quality.classify(df, labels).collect()
+    assert len(out) == 160 and all(r["predicted"] == 1 - r["doc_id"] % 2 == int(r["score"] >= 0.5) for r in out)
+    odd = quality.classify(docs(spark, AWKWARD), labels).collect()
+    assert len(odd) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in odd)
+    assert {r["score"] for r in quality.classify(df, labels.limit(0)).collect()} == {0.5}
+    assert quality.classify(docs(spark, []), labels).count() == 0
+    kept = quality.accepted(df, labels)
+    assert kept.columns == df.columns and {r["doc_id"] % 2 for r in kept.collect()} == {0} and kept.count() == 80
+
+
+def base_spans(text):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, "assign", m.end()))
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [f"{kind}:{a}:{b}" for a, _, kind, b in sorted(out)]
+
+
+def test_secret_spans(spark):
+    rng = random.Random(6)
+    parts = ["token = ", "API_KEY: '", "password=short", "Secret\"  :\"", "AKIA", "deadbeef", "0123456789abcdef", " 😀é ", "\n", "ABCDEFGHIJKLMNOP", "=", "api_key", "token: api_key: ", "Zq8/kW2+xY7pLm4TzR1vBn6Q", "hello_world.a-b"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(150)] + AWKWARD
+    got = {r["doc_id"]: r for r in secrets.report(docs(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        want = base_spans(t or "")
+        assert got[k]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), t
+        assert (got[k]["n_assign"], got[k]["n_access"], got[k]["n_hex"]) == tuple(sum(x.startswith(p) for x in want) for p in ("assign", "access", "hex:"))
+        assert [x for x in got[k]["spans"].split(",") if x and not x.startswith("entropy")] == want
+    assert secrets.report(docs(spark, [])).count() == 0
+
+
+def test_entropy_of_the_best_window(spark):
+    rng = random.Random(7)
+    values = ["".join(rng.choice(secrets.ALPHABET[: rng.choice([2, 16, 67])]) for _ in range(rng.randint(20, 60))) for _ in range(40)] + ["a" * 20]
+
+    def entropy(w):
+        p = np.array([w.count(c) for c in set(w)]) / len(w)
+        return float(-(p * np.log2(p)).sum())
+
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.best_entropy(F.col("v")).alias("h"))
+    for r in df.collect():
+        assert r["h"] == pytest.approx(max(entropy(r["v"][k : k + 20]) for k in range(len(r["v"]) - 19)), abs=1e-9)
+
+
+def test_added_spans_allow_list_and_redaction(spark):
+    texts = ["x Zq8/kW2+xY7pLm4TzR1vBn6Q y", "f47ac10b-58cc-4372-a567-0e02b2c3d479", "AnExampleZq8kW2xY7pLm4TzR1vBn6Q", "internationalizationists", "12345678901234567890123", "a token=abcdefghijklmnop0123 b", None, ""]
+    df = docs(spark, texts)
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(df).collect()}
+    assert got[0] == "entropy_alnum:2:26" and [got[k] for k in (1, 2, 3)] == [""] * 3 and "entropy" not in got[4] + got[5]
+    out = {r["doc_id"]: r for r in secrets.redacted(df).collect()}
+    assert out[0]["text"] == "x <SECRET> y" and out[5]["text"] == "a <SECRET> b" and out[6]["text"] is None and out[3]["text"] == texts[3]
+    assert out[0]["n_chars"] == 12 and secrets.redacted(df).columns == df.columns
+
+
+def shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_copies(rng, n=160):
+    out = []
+    while len(out) < n:
+        base = prose(rng, rng.randint(3, 80)).split()
+        out.append(" ".join(base))
+        for _ in range(rng.choice([0, 0, 1, 4])):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = "new" + str(rng.random())
+            out.append(" ".join(copy))
+    return out
+
+
+def test_jaccard_classes_equal_brute_force(spark):
+    rng = random.Random(8)
+    hot = prose(rng, 120).split()
+    texts = near_copies(rng) + [*AWKWARD]
+    for k in range(40):  # a group of near copies that are all alike
+        copy = list(hot)
+        copy[3 * k % 120] = f"v{k}"
+        texts.append(" ".join(copy))
+    different = {}
+    for k, t in enumerate(texts):
+        if t is not None:
+            different.setdefault(t, []).append(k)
+    keys = list(different)
+    sets = [shingles(t) for t in keys]
+    links = {k: set() for k in range(len(keys))}
+    for a in range(len(keys)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                links[a].add(b)
+                links[b].add(a)
+    root = list(range(len(keys)))
+    for _ in range(len(keys)):
+        fresh = [min([root[k], *(root[j] for j in links[k])]) for k in range(len(keys))]
+        if fresh == root:
+            break
+        root = fresh
+    least = {}
+    for k in range(len(keys)):
+        least[root[k]] = min(least.get(root[k], 1 << 60), different[keys[k]][0])
+    want = {k: (k, 0, 1) for k, t in enumerate(texts) if t is None}
+    for j, t in enumerate(keys):
+        want |= {k: (least[root[j]], len(links[j]), len(different[t])) for k in different[t]}
+    df = docs(spark, texts)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.classes(df).collect()}
+    assert got == want
+    kept = jaccard.deduplicated(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c, _, _ in want.values()})
+
+
+def test_large_leaves_are_cut_and_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF", 8)
+    rng = random.Random(9)
+    hot = prose(rng, 100).split()
+    texts = []
+    for k in range(45):
+        copy = list(hot)
+        copy[2 * k % 100] = f"v{k}"
+        texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    want = [sum(5 * len(a & b) >= 4 * len(a | b) for b in sets) - 1 for a in sets]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.classes(docs(spark, texts)).collect()}
+    assert got == {k: (0, n) for k, n in enumerate(want)}
+
+
+def test_jaccard_of_an_empty_table(spark):
+    assert jaccard.classes(docs(spark, [])).count() == 0
+    assert {(r["class_id"], r["n_links"]) for r in jaccard.classes(docs(spark, [None, "", "one"])).collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(k, v, 1, 9, 0.5) for k, v in rows], "vec_id long, embedding array<float>, label int, rank int, score double")
+
+
+def unit_rows(n, d=16, seed=1):
+    x = np.random.default_rng(seed).normal(size=(n, d)).astype(np.float32)
+    return [(k, v.tolist()) for k, v in enumerate(x)]
+
+
+ODD_VECTORS = [(900, None), (901, []), (902, [float("nan")] * 16), (903, [None] * 16), (904, [float("inf")] * 16), (905, [1.0, 2.0])]
+
+
+def exact_top(rows, score, zero):
+    ok = [(k, np.array(v, dtype=np.float64)) for k, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and (zero or any(v))]
+    out = {}
+    for q, a in ok:
+        if q % 100 == 0:
+            ranked = sorted((score(a, b), k) for k, b in ok if k != q and len(b) == len(a))[:10]
+            out[q] = [(n + 1, k) for n, (_, k) in enumerate(ranked)]
+    return out
+
+
+def test_bit_slices_are_exact(spark):
+    rows = unit_rows(400) + [(k, unit_rows(1)[0][1]) for k in range(500, 530)] + [(800, [0.0] * 16), *ODD_VECTORS]
+    got = {}
+    for r in bitslice.search(bitslice.quantised(vectors(spark, rows)), block_rows=64, query_block=2).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    quantise = lambda v: np.floor(1024 * v).astype(np.int64)
+    want = exact_top(rows, lambda a, b: -int(quantise(a) @ quantise(b)), zero=True)
+    assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in want.items() if v}
+    assert bitslice.search(bitslice.quantised(vectors(spark, []))).count() == 0
+
+
+def test_neighbours_reach_their_recall(spark):
+    rows = unit_rows(600) + [(k, unit_rows(1)[0][1]) for k in range(700, 730)] + [(800, [0.0] * 16), *ODD_VECTORS]
+    out = ann.search(vectors(spark, rows)).collect()
+    want = exact_top(rows, lambda a, b: float(np.sqrt(((a - b) ** 2).sum())), zero=False)
+    by_id = {k: v for k, v in rows}
+    found = {(r["query_id"], r["vec_id"]) for r in out}
+    hits = sum((q, k) in found for q, own in want.items() for _, k in own)
+    assert hits >= 0.9 * sum(map(len, want.values())) and 800 not in {r["query_id"] for r in out}
+    assert [k for _, k in sorted((r["rank"], r["vec_id"]) for r in out if r["query_id"] == 0)] == list(range(700, 710))
+    assert all(abs(r["score"] - np.linalg.norm(np.array(by_id[r["query_id"]]) - np.array(by_id[r["vec_id"]]))) < 1e-6 for r in out)
+    assert ann.search(vectors(spark, [])).count() == 0 and ann.search(vectors(spark, [(0, [1.0, 0.0])])).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>no</article>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav><!-- c -->
+<div class="ad-box">advert</div><article><h1>Head &amp; line</h1><div class="cookie-notice">notice</div><p>One <b>bold<br>line</b>&nbsp;two<p>Second &lt;p&gt; &#233; 1 < 2<form><input value=x>form</form><div id="comments"><p>reader</p></div><ul><li>item<li>other</ul></article><aside>side</aside><footer>foot</footer></body></html>"""
+
+
+def test_article_text(spark):
+    rows = [(1, "http://h/a", PAGE), (2, None, None), (3, "odd", "just  text"), (4, "http://h/b", PAGE.replace("<article>", "<div>").replace("</article>", "</div>")), (5, "http://h/c", "<p>a</p>" * 3000), (6, "http://h/a", "<article><p>" + "w " * 40000), (1, "http://h/a", PAGE)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, text int")
+    out = html.extract(df).collect()
+    assert len(out) == 7 and {r["n_chars"] == len(r["text"]) for r in out} == {True}
+    got = {r["page_id"]: r["text"] for r in out}
+    body = "Head & line\n\nOne bold line two\n\nSecond <p> é 1 < 2\n\nitem\n\nother"
+    assert got[1] == body and got[4] == body and got[2] == "" and got[3] == "just text"
+    assert got[5] == "\n\n".join(["a"] * 3000) and len(got[6]) == 2 * 40000 - 1
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_host_votes_choose_the_container():
+    page = html.Page("<body><div class='c12'><p>short</p></div><div class='box'><p>" + "long " * 50 + "</p></div></body>")
+    assert page.text(["/body/div.c#", "/body/div.box"]) == "short" and page.text([]).startswith("long")
+
+
+def removed_by_brute_force(texts):
+    seen, out = set(), {}
+    for k, t in texts:
+        if t is None:
+            out[k] = None
+            continue
+        raw = t.encode()
+        bounds = spans.sentences(raw)
+        covered = [False] * len(bounds)
+        for a, b in spans.runs(raw, bounds):
+            value = tuple(" ".join(raw[x:y].decode().split()) for x, y in bounds[a : b + 1] if raw[x:y].split())
+            if value in seen:
+                covered[a : b + 1] = [True] * (b + 1 - a)
+            seen.add(value)
+        out[k] = b"".join(raw[x:y] for (x, y), c in zip(bounds, covered, strict=True) if not c).decode()
+    return out
+
+
+def test_repeated_spans_go_but_first_ones_stay(spark):
+    rng = random.Random(10)
+    passage = " ".join(prose(rng, rng.randint(1, 14)).capitalize() + rng.choice([".", "!", "?"]) for _ in range(9))
+    texts = []
+    for k in range(40):
+        own = [prose(rng, rng.randint(1, 12)).capitalize() + "." for _ in range(rng.randint(1, 12))]
+        if k % 3 == 0:
+            own.insert(rng.randint(0, len(own)), passage)
+        texts.append(rng.choice([" ", "\n", "  \n\n"]).join(own))
+    texts += [texts[1], texts[3] + "\n" + texts[3], *AWKWARD]
+    out = {r["doc_id"]: r for r in spans.deduplicated(docs(spark, texts)).collect()}
+    want = removed_by_brute_force(list(enumerate(texts)))
+    assert {k: r["text"] for k, r in out.items()} == want
+    assert passage in out[0]["text"] and all(passage not in out[k]["text"] for k in range(3, 40, 3))
+    for k, r in out.items():
+        if texts[k] is not None:
+            left, at = "", 0
+            for a, b in r["removed_spans"]:
+                left, at = left + texts[k][at:a], b
+            assert left + texts[k][at:] == r["text"]
+    assert spans.deduplicated(docs(spark, [])).count() == 0
+
+
+def test_sentences_cover_the_text():
+    for t in ("", "a", "a. b", "a.b c!  d\n\n\ne?", "\n\n", ". . .", "x" * 10 + "\ny. "):
+        bounds = spans.sentences(t.encode())
+        assert "".join(t.encode()[a:b].decode() for a, b in bounds) == t
+
+
+def test_a_stage_folder_is_released(spark):
+    assert common.staged(docs(spark, ["a"])).count() == 1
+    common.release(spark)

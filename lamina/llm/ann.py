@@ -8,8 +8,9 @@ A search probes a query's nearest lists, further ones until they hold MIN_PROBED
 squared distances between a query's residual parts and codewords (asymmetric). The SHORTLIST best estimates of a query
 are reranked by exact distances of the original vectors, in double precision.
 
-A list that is long is cut by hash into parts of about PART vectors, and the queries of a list into parts of QUERY_PART, so no
-task holds a large list. The model (centroids, codebooks, list sizes) is broadcast; its size is bounded by MAX_LISTS.
+Lists are gathered into groups of about GROUP vectors, so that a query leaves one shortlist for each group and not for each list; a
+longer list is a group of its own, cut by hash into parts of that size, and the queries of a group are cut into parts of
+QUERY_PART, so no task holds a large list. The model (centroids, codebooks, list sizes) is broadcast; its size is bounded by MAX_LISTS.
 
 Defined results: vectors that are null, empty or all zero, or hold null or non-finite components, take no part; only vectors of one
 length meet. Repeated rows and equal vectors are candidates each; fewer than TOP candidates give all of them.
@@ -37,7 +38,7 @@ RECALL = 0.97
 MARGIN = 1.1
 MIN_PROBED = 512
 SHORTLIST = 256
-PART = 4096
+GROUP = 16_384
 QUERY_PART = 512
 SEED = 7
 
@@ -144,29 +145,53 @@ def _encoder(shared):
     return work
 
 
-def _prober(shared):
+def groups(sizes: np.ndarray, group: int = GROUP) -> tuple[list[int], list[int]]:
+    """Of each list its group, and of each group the number of parts that it is cut into."""
+    own, parts, held = [], [0], 0
+    for n in sizes.tolist():
+        if held and held + n > group:
+            parts.append(0)
+            held = 0
+        held += n
+        own.append(len(parts) - 1)
+        parts[-1] = max(1, math.ceil(held / group))
+    return own, parts
+
+
+def _prober(shared, own: list[int]):
     def work(batches):
         for frame in batches:
             for at in range(0, len(frame), 1024):
                 part = frame.iloc[at : at + 1024]
                 lists = shared.value.probes(np.stack(part["v"].to_numpy()).astype(np.float64))
-                yield pd.DataFrame({"vec": part["vec"], "v": part["v"], "lists": [x.tolist() for x in lists]})
+                rows = []
+                for vec, v, probed in zip(part["vec"], part["v"], lists, strict=True):
+                    by_group: dict[int, list[int]] = {}
+                    for k in probed.tolist():
+                        by_group.setdefault(own[k], []).append(k)
+                    rows += [(vec, v, g, x) for g, x in by_group.items()]
+                yield pd.DataFrame(rows, columns=["vec", "v", "group", "lists"])
 
     return work
 
 
 def _scanner(shared, shortlist: int):
-    def work(key, data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def work(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"q": [], "vec": [], "estimate": []}
         if len(data) and len(queries):
             model = shared.value
+            data = data.sort_values(["list", "vec"])
+            number = data["list"].to_numpy()
             vec = data["vec"].to_numpy()
             codes = np.frombuffer(b"".join(data["codes"]), dtype=np.uint8).reshape(len(data), -1)
-            for q, v in zip(queries["vec"].tolist(), queries["v"], strict=True):
-                estimate = model.estimates(np.asarray(v, dtype=np.float64), int(key[0]), codes)
+            for q, v, lists in zip(queries["vec"].tolist(), queries["v"], queries["lists"], strict=True):
+                query = np.asarray(v, dtype=np.float64)
+                spans = [(k, *np.searchsorted(number, [k, k + 1])) for k in lists]
+                estimate = np.concatenate([model.estimates(query, int(k), codes[a:b]) for k, a, b in spans])
+                ids = np.concatenate([vec[a:b] for _, a, b in spans])
                 best = np.argpartition(estimate, shortlist)[:shortlist] if len(estimate) > shortlist else np.arange(len(estimate))
                 out["q"].append(np.full(len(best), q))
-                out["vec"].append(vec[best])
+                out["vec"].append(ids[best])
                 out["estimate"].append(estimate[best])
         if not out["q"]:
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "vec": pd.Series(dtype="int64"), "estimate": pd.Series(dtype="float64")})
@@ -188,16 +213,17 @@ def _search_one_length(different: DataFrame, shortlist: int) -> DataFrame:
     sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS rows
     model.sizes = np.array([sizes.get(k, 0) for k in range(len(model.centroids))])
     shared = spark.sparkContext.broadcast(model)
-    probed = different.where("asked = 1").select("vec", "v").mapInPandas(_prober(shared), "vec long, v array<float>, lists array<int>")
-    asking = staged(probed.select("vec", "v", F.explode("lists").alias("list")))
-    asked = {r["list"]: r["n"] for r in asking.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    parts = F.array(*[F.lit(max(1, math.ceil(n / PART))) for n in model.sizes.tolist()])
-    query_parts = F.array(*[F.lit(max(1, math.ceil(asked.get(k, 0) / QUERY_PART))) for k in range(len(model.sizes))])
-    mine = F.pmod(F.xxhash64("vec"), parts[F.col("list")]).cast("int")
-    theirs = F.pmod(F.xxhash64("vec"), query_parts[F.col("list")]).cast("int")
-    data = index.select("list", mine.alias("part"), F.explode(F.sequence(F.lit(0), query_parts[F.col("list")] - 1)).alias("asked"), "vec", "codes")
-    queries = asking.select("list", F.explode(F.sequence(F.lit(0), parts[F.col("list")] - 1)).alias("part"), theirs.alias("asked"), "vec", "v")
-    keys = ("list", "part", "asked")
+    group_of, parts_of = groups(model.sizes)
+    probed = different.where("asked = 1").select("vec", "v").mapInPandas(_prober(shared, group_of), "vec long, v array<float>, group int, lists array<int>")
+    asking = staged(probed)
+    asked = {r["group"]: r["n"] for r in asking.groupBy("group").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS rows
+    group = F.array(*map(F.lit, group_of))[F.col("list")]
+    parts = F.array(*map(F.lit, parts_of))[F.col("group")]
+    query_parts = F.array(*[F.lit(max(1, math.ceil(asked.get(k, 0) / QUERY_PART))) for k in range(len(parts_of))])[F.col("group")]
+    hashed = F.xxhash64("vec")
+    data = index.withColumn("group", group).select("group", F.pmod(hashed, parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), query_parts - 1)).alias("asked"), "list", "vec", "codes")
+    queries = asking.select("group", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.pmod(hashed, query_parts).cast("int").alias("asked"), "vec", "v", "lists")
+    keys = ("group", "part", "asked")
     near = data.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_scanner(shared, shortlist), "q long, vec long, estimate double")
     short = staged(V.limited(near, "q", [F.asc("estimate"), F.asc("vec")], shortlist).select("q", "vec"))
     candidates = short.join(different.select("vec", F.col("v").alias("cv")), "vec")

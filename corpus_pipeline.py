@@ -7,7 +7,7 @@ stages but the last return the columns of documents:
 2. near_copies  one document of each class of near copies stays, the one with the least doc_id;
 3. secrets      spans found in a text are replaced by a mask;
 4. mixing       documents are repeated or left out so that sources meet their target weights, and shuffled within shards;
-5. packing      documents become token pieces with their places in sequences of 2048 tokens.
+5. packing      documents become pieces of token ids with their places in sequences of 2048 tokens.
 """
 
 from __future__ import annotations

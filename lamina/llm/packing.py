@@ -9,6 +9,9 @@ the fullest closes first. Every packer leaves at most `open_bins` bins unfilled,
 Tokenising goes word by word: the vocabulary drops white space and never merges across it, so the ids of a text are the ids of
 its blank-separated parts in order. Each task keeps the ids of the parts it has met in a cache of CACHE_BYTES at most.
 
+A packed row holds the ids themselves, little-endian uint32 as in `encode`, so the rows of a sequence in order of offset are its
+tokens: sequences() joins them. The query gives a length and a crc32 in place of the ids.
+
 Defined results: a null text counts as empty and yields the single closing id; texts of any length are cut, never
 truncated; repeated rows are packed once each; an empty table gives no rows. Only doc_id and text are read.
 """
@@ -105,7 +108,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: the documents' token sequences, cut."""
+    """doc_id, piece, start, length, ids_crc32, ids: the documents' token sequences, cut."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +119,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = [b"" if t is None else t for t in part.column("text").cast(pa.binary()).to_pylist()]
-                row, piece, start, length, crc = [], [], [], [], []
+                row, piece, start, length, crc, held = [], [], [], [], [], []
                 for k, text in enumerate(texts):
                     ids = coder.encode(text) + closing
                     for n, first in enumerate(range(0, len(ids), step)):
@@ -126,12 +129,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                         start.append(first // 4)
                         length.append(len(own) // 4)
                         crc.append(zlib.crc32(own))
+                        held.append(own)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                    [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(held, pa.binary())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> tuple[list[int], list[int]]:
@@ -191,5 +195,13 @@ def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     return pack(staged(pieces(docs, path or tokenizer_path())))
 
 
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, ids: the tokens of every sequence, from the rows of pack_documents()."""
+    own = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    return packed.groupBy("sequence_id").agg(own.alias("own")).select("sequence_id", F.aggregate("own", F.unhex(F.lit("")), lambda s, x: F.concat(s, x["ids"])).alias("ids"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    packed = pack_documents(table(spark, sf_dir, "documents"))
+    length = F.expr("octet_length(ids) div 4").alias("length")
+    return packed.select("doc_id", "piece", "start", length, F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

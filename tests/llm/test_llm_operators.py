@@ -69,6 +69,21 @@ def test_pieces_are_the_tokenizers_ids(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_sequences_hold_the_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    texts = [*AWKWARD, "one two three", "Four, five."]
+    packed = packing.pack_documents(docs(spark, texts))
+    whole = {r["sequence_id"]: np.frombuffer(r["ids"], dtype="<u4") for r in packing.sequences(packed).collect()}
+    got = {}
+    for r in packed.collect():
+        got.setdefault(r["doc_id"], {})[r["piece"]] = whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]].tolist()
+    for k, t in enumerate(texts):
+        assert sum((got[k][n] for n in sorted(got[k])), []) == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+    assert sum(map(len, whole.values())) == packed.agg(F.sum("length")).first()[0]
+
+
 def test_best_fit_against_a_plain_model():
     rng = random.Random(3)
     lengths = [rng.randint(1, 100) for _ in range(3000)]

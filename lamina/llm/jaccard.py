@@ -16,6 +16,7 @@ hashes; a slot's value is a token that two sets share with a probability equal t
 Words are what lies between ASCII white space; a text of fewer words than a shingle is one shingle. Defined results: a null text is a class
 of its own with no link; a text without words links to none but its equal copies; n_copies counts the rows with an equal text, and
 n_links the different texts with a similarity of at least 0.8. Repeated rows count as copies. The class id is the least doc_id of the class.
+A row with a null doc_id is compared and counted like any other; a class has a null id only if all its rows have none.
 """
 
 from __future__ import annotations
@@ -360,9 +361,13 @@ def links(docs: DataFrame, recs: DataFrame, n_runs: int) -> DataFrame:
     active = staged(_by_cell(cells(recs, members, stats), _active, _CELL))
     wanted = staged(active.join(recs.select("rec", F.col("first").alias("doc_id")), "rec").select("doc_id", *active.columns))
     # the same plan at every size: texts meet the records that ask for them by (doc_id, rec), which no group of copies makes hot
-    keys = ["doc_id", "rec"]
-    texts = _keyed(docs).join(wanted.select(*keys).hint("merge"), keys, "left_semi").dropDuplicates(keys)
-    sets = texts.join(wanted.hint("merge"), keys).select(*active.columns, "text").mapInArrow(_sets, f"{_CELL}, tokens binary")
+    asked = wanted.select(F.col("doc_id").alias("_doc_id"), F.col("rec").alias("_rec"))
+    keyed = _keyed(docs)
+    same = keyed["doc_id"].eqNullSafe(F.col("_doc_id")) & (keyed["rec"] == F.col("_rec"))
+    texts = keyed.join(asked.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "rec"])
+    own = texts.select(F.col("doc_id").alias("_doc_id"), F.col("rec").alias("_rec"), "text")
+    same = own["_doc_id"].eqNullSafe(wanted["doc_id"]) & (own["_rec"] == wanted["rec"])
+    sets = own.join(wanted.hint("merge"), same).select(*active.columns, "text").mapInArrow(_sets, f"{_CELL}, tokens binary")
     return staged(_by_cell(sets, _linked, "rec binary, links long, least binary"))
 
 
@@ -384,14 +389,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
-    """doc_id, rec, class_id, n_links, n_copies for every row of docs (doc_id, text)."""
+def _labelled(docs: DataFrame, recall: float) -> DataFrame:
+    """rec, first, copies, n_links (null for none) and label, the least rec of its class, of each different text."""
     recs = staged(records(docs))
     found = links(docs, recs, runs(recall))
     labels = components(found.select(F.col("rec").alias("a"), F.col("least").alias("b")))
     counts = found.groupBy("rec").agg(F.sum("links").alias("n_links"))
     marked = recs.select("rec", "first", "copies").join(labels.withColumnRenamed("node", "rec"), "rec", "left").join(counts, "rec", "left")
-    marked = staged(marked.withColumn("label", F.coalesce("label", "rec")))
+    return staged(marked.withColumn("label", F.coalesce("label", "rec")))
+
+
+def classes(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
+    """doc_id, rec, class_id, n_links, n_copies for every row of docs (doc_id, text)."""
+    marked = _labelled(docs, recall)
     least = staged(marked.where("n_links > 0").groupBy("label").agg(F.min("first").alias("class_id")))
     final = staged(marked.join(least, "label", "left").select("rec", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies")))
     own = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("rec"))
@@ -400,10 +410,12 @@ def classes(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
-    """One row of docs, all columns, for each class: the one with the least doc_id. Rows with a null text all stay."""
-    kept = classes(docs, recall).where("rec is not null and doc_id = class_id").select("doc_id", "rec").distinct()
+    """One row of docs, all columns, for each class: the one with the least doc_id, or any if all are null. Rows with a null text all stay."""
+    best = F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "rec"))
+    kept = _labelled(docs, recall).groupBy("label").agg(best.alias("best")).select(F.col("best.first").alias("_first"), F.col("best.rec").alias("_best"))
     keyed = docs.withColumn("_rec", F.unhex(F.md5(F.col("text").cast("binary"))))
-    stay = keyed.join(kept.withColumnRenamed("rec", "_rec"), ["doc_id", "_rec"], "left_semi").dropDuplicates(["doc_id", "_rec"])
+    same = (keyed["_rec"] == F.col("_best")) & keyed["doc_id"].eqNullSafe(F.col("_first"))
+    stay = keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_rec"])
     return stay.select(*docs.columns).unionByName(docs.where("text is null"))
 
 

@@ -277,6 +277,22 @@ def test_large_leaves_are_cut_and_lose_no_link(spark, monkeypatch):
     assert got == {k: (0, n) for k, n in enumerate(want)}
 
 
+def test_rows_without_an_id_are_compared_and_kept_once(spark):
+    rng = random.Random(11)
+    base = [prose(rng, 60) for _ in range(5)]
+    near = [t + " end" for t in base]
+    # alone twice; a class without ids; with an id in its other text; with an id in its own text; null texts
+    rows = [(None, base[0]), (None, base[0]), (None, base[1]), (None, near[1]), (None, base[2]), (7, near[2]), (None, base[3]), (8, base[3]), (None, None), (9, None)]
+    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, rec string")
+    got = {r["text"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.classes(df).drop("rec").join(df.select("doc_id", "text"), "doc_id").collect()}
+    assert got[near[2]] == (7, 1, 1) and got[base[3]] == (8, 0, 2)
+    every = sorted((r["class_id"] or 0, r["n_links"], r["n_copies"]) for r in jaccard.classes(df).collect())
+    assert every == sorted([(0, 0, 2), (0, 0, 2), (0, 1, 1), (0, 1, 1), (7, 1, 1), (7, 1, 1), (8, 0, 2), (8, 0, 2), (0, 0, 1), (9, 0, 1)])
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.deduplicated(df).collect()]
+    assert (7, near[2]) in kept and (8, base[3]) in kept and (None, base[0]) in kept and (None, None) in kept and (9, None) in kept
+    assert len(kept) == 6 and sum(t in (base[1], near[1]) for _, t in kept) == 1
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard.classes(docs(spark, [])).count() == 0
     assert {(r["class_id"], r["n_links"]) for r in jaccard.classes(docs(spark, [None, "", "one"])).collect()} == {(0, 0), (1, 0), (2, 0)}

@@ -277,6 +277,14 @@ def test_large_leaves_are_cut_and_lose_no_link(spark, monkeypatch):
     assert got == {k: (0, n) for k, n in enumerate(want)}
 
 
+def test_long_texts_are_cut_and_count_each_link_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 64)
+    rng = random.Random(12)
+    texts = [t for _ in range(12) for base in [prose(rng, 120)] for t in (base, base + " end")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.classes(docs(spark, texts)).collect()}
+    assert got == {k: (k - k % 2, 1) for k in range(len(texts))}
+
+
 def test_rows_without_an_id_are_compared_and_kept_once(spark):
     rng = random.Random(11)
     base = [prose(rng, 60) for _ in range(5)]

@@ -373,51 +373,80 @@ def test_host_votes_choose_the_container():
     assert page.text(["/body/div.c#", "/body/div.box"]) == "short" and page.text([]).startswith("long")
 
 
-def removed_by_brute_force(texts):
-    seen, out = set(), {}
-    for k, t in texts:
-        if t is None:
-            out[k] = None
-            continue
-        raw = t.encode()
-        bounds = spans.sentences(raw)
-        covered = [False] * len(bounds)
-        for a, b in spans.runs(raw, bounds):
-            value = tuple(" ".join(raw[x:y].decode().split()) for x, y in bounds[a : b + 1] if raw[x:y].split())
-            if value in seen:
-                covered[a : b + 1] = [True] * (b + 1 - a)
-            seen.add(value)
-        out[k] = b"".join(raw[x:y] for (x, y), c in zip(bounds, covered, strict=True) if not c).decode()
+def ascii_words(text):
+    return re.findall(r"[^ \t\n\r\f\v]+", text or "")
+
+
+def seen_before(texts, width):
+    """Of each text, which words lie in a window of `width` words that some window before it equals. Knows nothing of sentences."""
+    seen, out = set(), []
+    for t in texts:
+        w = ascii_words(t)
+        covered = [False] * len(w)
+        for k in range(len(w) - width + 1):
+            window = tuple(w[k : k + width])
+            if window in seen:
+                covered[k : k + width] = [True] * width
+            seen.add(window)
+        out.append(covered)
     return out
 
 
-def test_repeated_spans_go_but_first_ones_stay(spark):
+def test_repeated_passages_go_but_first_ones_stay(spark):
     rng = random.Random(10)
-    passage = " ".join(prose(rng, rng.randint(1, 14)).capitalize() + rng.choice([".", "!", "?"]) for _ in range(9))
+    passages = []
+    for k in range(12):  # of 51 to 90 words; some without any mark
+        words = prose(rng, rng.randint(51, 90)).split()
+        passages.append([w + (rng.choice(".!?,;:") if k % 3 and rng.random() < 0.15 else "") for w in words])
     texts = []
-    for k in range(40):
-        own = [prose(rng, rng.randint(1, 12)).capitalize() + "." for _ in range(rng.randint(1, 12))]
+    for k in range(90):
+        own = [w + (rng.choice(".,") if rng.random() < 0.12 else "") for w in prose(rng, rng.randint(1, 160)).split()]
         if k % 3 == 0:
-            own.insert(rng.randint(0, len(own)), passage)
-        texts.append(rng.choice([" ", "\n", "  \n\n"]).join(own))
-    texts += [texts[1], texts[3] + "\n" + texts[3], *AWKWARD]
+            at = rng.randint(0, len(own))
+            own[at:at] = rng.choice(passages)
+        texts.append("".join(w + rng.choice([" ", " ", "  ", "\n", " \n\n"] if k % 2 else [" "]) for w in own))
+    texts += [(prose(rng, 100) + "\n") * 3, texts[3], texts[6] + "\n" + texts[9], prose(rng, 20), "é😀 " * 3, *AWKWARD]
     out = {r["doc_id"]: r for r in spans.deduplicated(docs(spark, texts)).collect()}
-    want = removed_by_brute_force(list(enumerate(texts)))
-    assert {k: r["text"] for k, r in out.items()} == want
-    assert passage in out[0]["text"] and all(passage not in out[k]["text"] for k in range(3, 40, 3))
-    for k, r in out.items():
-        if texts[k] is not None:
-            left, at = "", 0
-            for a, b in r["removed_spans"]:
-                left, at = left + texts[k][at:a], b
-            assert left + texts[k][at:] == r["text"]
+    assert sorted(out) == list(range(len(texts)))
+    long, least = seen_before(texts, 51), seen_before(texts, spans.LEAST_WORDS)
+    planted = 0
+    for k, t in enumerate(texts):
+        r = out[k]
+        if t is None:
+            assert r["text"] is None and r["removed_sentences"] == 0
+            continue
+        left, at, gone = "", 0, []
+        for a, b in r["removed_spans"]:
+            left, at = left + t[at:a], b
+            gone += range(len(ascii_words(t[:a])), len(ascii_words(t[:b])))
+        assert left + t[at:] == r["text"]
+        assert all(least[k][x] for x in gone) and (r["removed_sentences"] > 0) == bool(gone), (k, gone, [x for x in gone if not least[k][x]], r["removed_spans"], t[-300:])
+        if any(long[k]) and len(set(ascii_words(t))) > 15:
+            planted += 1
+            assert sum(long[k][x] for x in gone) >= 0.6 * sum(long[k]), k
+        if not any(least[k]):
+            assert r["text"] == t
+    assert planted >= 20 and out[91]["text"].strip() == ""
     assert spans.deduplicated(docs(spark, [])).count() == 0
 
 
+def test_spans_of_odd_rows(spark):
+    rng = random.Random(13)
+    text = prose(rng, 120)
+    rows = [(None, text), (1, text), (1, text), (1, "other " + text), (2, None), (None, None), (3, text.replace(" ", "\t"))]
+    out = spans.deduplicated(spark.createDataFrame([(k, t, 1, [0]) for k, t in rows], "doc_id long, text string, run int, gone array<int>")).collect()
+    assert len(out) == len(rows)
+    kept = [r["text"] for r in out if r["doc_id"] is None]
+    assert sorted(kept, key=str) == sorted([text, None], key=str)
+    assert all(len(ascii_words(r["text"])) < 15 for r in out if r["doc_id"] in (1, 3)) and [r["text"] for r in out if r["doc_id"] == 2] == [None]
+
+
 def test_sentences_cover_the_text():
-    for t in ("", "a", "a. b", "a.b c!  d\n\n\ne?", "\n\n", ". . .", "x" * 10 + "\ny. "):
-        bounds = spans.sentences(t.encode())
-        assert "".join(t.encode()[a:b].decode() for a, b in bounds) == t
+    runs = spans.Runs()
+    for t in ("a", "a. b", "a.b c!  d\n\n\ne?", ". . .", "x" * 10 + "\ny. ", " \n lead and, tail  "):
+        bounds = runs.sentences(t.encode())
+        assert "".join(t.encode()[a:b].decode() for a, b in bounds) == t and len(bounds) == len(runs.starts(t.encode())[1]) - 1
+    assert runs.sentences(b" \n ") == [] and len(runs.hashes(b"")) == 0
 
 
 def test_a_stage_folder_is_released(spark):

@@ -373,6 +373,40 @@ def test_host_votes_choose_the_container():
     assert page.text(["/body/div.c#", "/body/div.box"]) == "short" and page.text([]).startswith("long")
 
 
+def test_no_word_voids_an_article(spark):
+    lines = ["Lead " + "text " * 30, "Second " + "line " * 30]
+    body = "".join(f"<p>{x}</p>" for x in lines)
+    names = ["post no-sidebar", "article-content social-share-enabled", "entry related-topic", "story search-result", "main-content has-banner", "articleNoComments"]
+    around = "<div class='sidebar'><p>side</p></div><div id='post-comments'><p>" + "reader " * 90 + "</p></div><div class='related-posts'><p>more</p></div><div class='searchBox'><p>find</p></div>"
+    rows = [(k, f"http://h{k}/a", f"<html><body><div class='{name}'>{body}</div>{around}</body></html>") for k, name in enumerate(names)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "\n\n".join(x.strip() for x in lines) for k in range(len(names))}
+
+
+def test_every_container_on_the_path_stays(spark):
+    parts = "".join(f"<div class='text-block'><p>{w * n}</p></div>" for w, n in (("one ", 250), ("two ", 30), ("three ", 2)))
+    page = f"<html><body><div class='menu'>m</div><div class='c'><h1>Head</h1><p>lead</p>{parts}</div><div class='x'><p>end</p></div></body></html>"
+    got = html.extract(spark.createDataFrame([(1, "http://h/a", page)], "page_id long, url string, html string")).first()["text"]
+    assert got == "\n\n".join(["Head", "lead", ("one " * 250).strip(), ("two " * 30).strip(), "three three"])
+
+
+def test_a_host_outvotes_one_page(spark):
+    """A plain model of the vote: the path with most of the pages' shares of text wins, and its host's pages follow it."""
+    rng = random.Random(14)
+    rows, plain = [], {}
+    for k in range(30):
+        own, other = ("long " * rng.randint(40, 60), "few " * 5) if k else ("short", "comment " * 300)
+        rows.append((k, "http://h/" + str(k), f"<html><body><div class='b{k}'><p>{own}</p></div><div class='thread'><p>{other}</p></div></body></html>"))
+        for path, text in (("/html/body/div.b#", own), ("/html/body/div.thread", other)):
+            plain[path] = plain.get(path, 0) + len(text.strip()) / len(own.strip() + other.strip())
+    assert max(plain, key=plain.get) == "/html/body/div.b#"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert got[0] == "short" and all(t.startswith("long") and "few" not in t for k, t in got.items() if k)
+    alone = html.extract(df.where("page_id = 0")).first()["text"]
+    assert alone.startswith("comment")
+
+
 def ascii_words(text):
     return re.findall(r"[^ \t\n\r\f\v]+", text or "")
 

@@ -1,7 +1,9 @@
 """Secret scans, with DataFrame functions only.
 
 Base findings come from three fixed patterns. A regular expression function gives matches without their places, so a text is also
-split by the same pattern: the lengths of the parts and matches, added up, are the places (in code points, end exclusive).
+split by the same pattern: the lengths of the parts and matches, added up, are the places (in code points, end exclusive). Sums, and
+greatest and least values, run over an array in rounds of doubling distance, so n matches cost n log n and not n squared; what a candidate
+overlaps is read off such running values over candidates and base findings in order.
 
 On top, candidate strings (runs of WINDOW or more of the characters that keys are written in) are scored by Shannon
 entropy: a window of WINDOW characters slides over a candidate, an array of counts follows it by one step down and one up, and
@@ -10,13 +12,17 @@ candidate's character class: hex digits, letters of both cases, or letters with
 base finding or match an entry of the allow-list are suppressed.
 
 Defined results: a null or empty text has no spans (counts 0, sha256 of the empty string, spans ''). Every row gives a row;
-repeated rows give equal rows. Very long texts are scanned whole. Added kinds are entropy_hex, entropy_mixed and
+repeated rows give equal rows. Very long texts are scanned whole. A null doc_id is kept as it is, and redacted() keeps all columns whatever
+their names. Added kinds are entropy_hex, entropy_mixed and
 entropy_alnum; they sort after the base kinds at the same start.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +52,25 @@ ALLOWED = (
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed", "entropy_alnum")
 MASK = "<SECRET>"
 
+CHUNK = 1024
 _SPANS = "array<struct<start:int,ord:int,kind:string,end:int>>"
+_FOUND = "array<struct<start:int,end:int,value:string>>"
+_FAR = (1 << 31) - 1
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once: a one-element array binds it to a name."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """Of each place, both() over all values up to it."""
+
+    def over(v: Column) -> Column:
+        distances = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda d: d < F.size(v))
+        return F.aggregate(distances, v, lambda s, d: F.transform(s, lambda x, i: F.when(i >= d, both(x, F.get(s, i - d))).otherwise(x)))
+
+    return _bound(values, over)
 
 
 def _located(text: Column, pattern: str, group: int | None = None) -> Column:
@@ -54,17 +78,33 @@ def _located(text: Column, pattern: str, group: int | None = None) -> Column:
     regex = F.lit(pattern)
     matches = F.regexp_extract_all(text, regex, F.lit(0))
     values = matches if group is None else F.regexp_extract_all(text, regex, F.lit(group))
-    rows = F.arrays_zip(matches.alias("m"), values.alias("v"), F.split(text, pattern, -1).alias("p"))
-    none = F.lit(None).cast("array<struct<start:int,end:int,value:string>>")
 
-    def step(state: Column, row: Column) -> Column:
-        start = state["at"] + F.length(row["p"])
-        end = start + F.length(row["m"])
-        found = F.array(F.struct(start.alias("start"), end.alias("end"), row["v"].alias("value")))
-        return F.when(row["m"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["found"], found).alias("found")))
+    def placed(h: Column) -> Column:
+        sizes = F.zip_with(h["m"], h["p"], lambda m, p: F.coalesce(F.length(m), F.lit(0)) + F.length(p))
+        ended = lambda ends: F.transform(h["m"], lambda m, i: F.struct((ends[i] - F.length(m)).alias("start"), ends[i].alias("end"), h["v"][i].alias("value")))
+        return _bound(_running(sizes, lambda a, b: a + b), ended)
+
+    parts = F.struct(matches.alias("m"), values.alias("v"), F.split(text, pattern, -1).alias("p"))
+    return F.when(text.rlike(pattern), _bound(parts, placed)).otherwise(F.lit(None).cast(_FOUND))
+
+
+def _apart(candidates: Column, base: Column) -> Column:
+    """The candidates that overlap no base finding, in order."""
+    shape = "array<struct<start:int,end:int,base:boolean,value:string>>"
+
+    def row(x: Column, is_base: bool) -> Column:
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(is_base).alias("base"), F.lit(None).cast("string").alias("value") if is_base else x["value"].alias("value"))
+
+    ordered = F.array_sort(F.concat(F.transform(candidates, lambda x: row(x, False)).cast(shape), F.transform(base, lambda x: row(x, True)).cast(shape)))
+
+    def over(rows: Column) -> Column:
+        ends = _running(F.transform(rows, lambda x: F.when(x["base"], x["end"]).otherwise(-1)), F.greatest)
+        starts = F.reverse(_running(F.reverse(F.transform(rows, lambda x: F.when(x["base"], x["start"]).otherwise(_FAR))), F.least))
+        free = lambda near: F.filter(rows, lambda x, i: ~x["base"] & (near["ends"][i] <= x["start"]) & (near["starts"][i] >= x["end"]))
+        return _bound(F.struct(ends.alias("ends"), starts.alias("starts")), free)
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(rows, first, step, lambda s: s["found"])).otherwise(none)
+    kept = F.transform(_bound(ordered, over), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+    return F.when(F.size(candidates) > 0, kept)
 
 
 def _as_spans(found: Column, kind: str | Column) -> Column:
@@ -102,10 +142,9 @@ def best_entropy(value: Column) -> Column:
             places = F.when(F.size(codes) > WINDOW, F.sequence(F.lit(WINDOW + 1), F.size(codes))).otherwise(F.array().cast("array<int>"))
             return F.aggregate(places, first, step, lambda s: s["least"])
 
-        # one-element arrays bind a value to a name, so that it isn't worked out again at each use
-        return F.transform(F.array(counts), from_counts)[0]
+        return _bound(counts, from_counts)
 
-    least = F.transform(F.array(codes), over)[0]
+    least = _bound(codes, over)
     return F.lit(math.log2(WINDOW)) - least / WINDOW
 
 
@@ -114,25 +153,23 @@ def _class(value: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs with the columns base and added: sorted arrays of (start, ord, kind, end)."""
+    """row (all columns of docs), base and added: sorted arrays of (start, ord, kind, end)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    hits = docs.withColumns({"_assign": _located(text, ASSIGN, 2), "_access": _located(text, ACCESS), "_hex": _located(text, HEX), "_cand": _located(text, CANDIDATE)})
+    own = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    hits = own.withColumns({"_assign": _located(text, ASSIGN, 2), "_access": _located(text, ACCESS), "_hex": _located(text, HEX), "_cand": _located(text, CANDIDATE)})
     values = F.filter("_assign", lambda x: F.length(x["value"]) >= LEAST_VALUE)
     based = hits.withColumn("base", F.array_sort(F.concat(_as_spans(values, "assign"), _as_spans(F.col("_access"), "access"), _as_spans(F.col("_hex"), "hex"))))
 
     def open_case(x: Column) -> Column:
-        kept = ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-        for p in ALLOWED:
-            kept &= ~x["value"].rlike(p)
-        return kept
+        return functools.reduce(operator.and_, [~x["value"].rlike(p) for p in ALLOWED])
 
-    opened = based.withColumn("_cand", F.filter("_cand", open_case))
+    opened = based.withColumn("_cand", F.filter(_apart(F.col("_cand"), F.col("base")), open_case))
     scored = opened.withColumn("_cand", F.when(F.size("_cand") > 0, F.transform("_cand", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _class(x["value"]).alias("kind"), best_entropy(x["value"]).alias("bits")))))
     least = F.create_map(*[F.lit(x) for pair in LEAST_BITS.items() for x in pair])
     strong = F.filter("_cand", lambda x: x["bits"] >= least[x["kind"]])
     order = F.array(*map(F.lit, KINDS))
     added = F.transform(strong, lambda x: F.struct(x["start"].alias("start"), F.array_position(order, x["kind"]).cast("int").alias("ord"), x["kind"].alias("kind"), x["end"].alias("end")))
-    return scored.withColumn("added", F.coalesce(added, F.array()).cast(_SPANS)).drop("_assign", "_access", "_hex", "_cand")
+    return scored.withColumn("added", F.coalesce(added, F.array()).cast(_SPANS)).select("row", "base", "added")
 
 
 def _joined(spans: Column) -> Column:
@@ -145,27 +182,35 @@ def report(docs: DataFrame) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    found = scan(docs.select("doc_id", "text")).select("doc_id", "base", "added")
+    found = scan(docs.select("doc_id", "text")).select("row.doc_id", "base", "added")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
 def redacted(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """docs, all columns, with every span of the text replaced by mask; n_chars, if there is one, follows the text. Spans that touch
     or overlap become one mask. A null text stays null."""
-    found = scan(docs).withColumn("_spans", F.array_sort(F.concat("base", "added")))
-
-    def step(s: Column, x: Column) -> Column:
-        apart = x["start"] > s["at"]
-        piece = F.concat(F.col("text").substr(s["at"] + 1, x["start"] - s["at"]), F.lit(mask))
-        first = (s["at"] == 0) & (F.length(s["out"]) == 0)
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(apart, F.concat(s["out"], piece)).when(first, F.lit(mask)).otherwise(s["out"]).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda s: F.concat(s["out"], F.col("text").substr(s["at"] + 1, F.length("text")))
-    done = found.withColumn("text", F.when(F.size("_spans") > 0, F.aggregate("_spans", first, step, rest)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    found = scan(docs).select("row", F.array_sort(F.concat("base", "added")).alias("spans"))
+
+    def masked(t: Column) -> Column:
+        # a piece is cut from the few chunks that it lies in, since cutting walks a text from its start
+        def piece(chunks: Column, a: Column, b: Column) -> Column:
+            first = F.floor(a / CHUNK).cast("int")
+            near = F.array_join(F.slice(chunks, first + 1, F.floor(b / CHUNK).cast("int") - first + 1), "")
+            return near.substr(a - first * CHUNK + 1, b - a)
+
+        def over(x: Column) -> Column:
+            before = lambda i: F.when(i > 0, x["ends"][F.greatest(i - 1, F.lit(0))]).otherwise(F.lit(0))
+            part = lambda s, i: F.when((i == 0) | (s["start"] > before(i)), F.concat(piece(x["chunks"], before(i), s["start"]), F.lit(mask))).otherwise(F.lit(""))
+            last = x["ends"][F.size(x["ends"]) - 1]
+            return F.concat(F.array_join(F.transform(t["spans"], part), ""), piece(x["chunks"], last, F.length(t["text"])))
+
+        ends = _running(F.transform(t["spans"], lambda s: s["end"]), F.greatest)
+        return _bound(F.struct(ends.alias("ends"), F.regexp_extract_all(t["text"], F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks")), over)
+
+    text = F.when(F.size("spans") > 0, _bound(F.struct(F.col("row.text").alias("text"), "spans"), masked)).otherwise(F.col("row.text"))
+    done = found.select("row", text.alias("text"), (F.size("spans") > 0).alias("changed"))
+    length = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    return done.select(*[F.col("text") if c == "text" else length.alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

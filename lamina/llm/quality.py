@@ -9,7 +9,8 @@ diagonal of the pooled one by `shrinkage`, plus a small ridge, then factored onc
 difference of the two Gaussian log densities, from Mahalanobis distances by the cached factors, plus the log prior odds.
 
 Defined results: a null text counts as empty and gets a score like any other. If only one class has labels, every score is
-that class (0 or 1); without labels, every score is 0.5. Labels that are null or not 0 or 1 are left out; a doc_id with
+that class (0 or 1); without labels, every score is 0.5; a class of a single label has no covariance, so every score is that of the class with more
+labels, or 0.5. A text longer than SLICE is worked off in slices, with the same statistics. Labels that are null or not 0 or 1 are left out; a doc_id with
 several labels takes their mean, rounded, ties to 1. Repeated documents count as often as they occur. Inputs of a score are statistics of the
 text only.
 """
@@ -57,23 +58,38 @@ def _kinds() -> np.ndarray:
 
 def text_statistics(text: str, kinds: np.ndarray) -> list[float]:
     counts = np.zeros(7)
-    words = distinct = pairs = distinct_pairs = lines = distinct_lines = capitalised = longest = 0
+    words = capitalised = longest = 0
+    lines = 1
+    seen_words, seen_pairs, seen_lines = set(), set(), set()  # of hashes, over all slices
     seen_kinds = np.zeros(256, dtype=bool)
-    for at in range(0, len(text), SLICE):
-        part = text[at : at + SLICE]
+    before: str | None = None
+    open_line: list[str] = []
+    at = 0
+    while at < len(text):
+        end = min(at + SLICE, len(text))
+        while end < len(text) and not text[end - 1].isspace():  # no word lies in two slices
+            end += 1
+        part, at = text[at:end], end
         codes = np.minimum(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4"), 0x10000)
         counts += np.bincount(kinds.take(codes.astype(np.intp)), minlength=7)
         seen_kinds[codes[codes < 256]] = True
         own = part.split()
         words += len(own)
-        distinct += len(set(own))
-        pairs += max(0, len(own) - 1)
-        distinct_pairs += len(set(zip(own, own[1:], strict=False)))
+        seen_words.update(map(hash, own))
+        seen_pairs.update(map(hash, zip(own if before is None else [before, *own], own[before is None :], strict=False)))
+        before = own[-1] if own else before
         capitalised += sum(map(str.istitle, own))
         longest = max(longest, max(map(len, own), default=0))
-        rows = part.split("\n")
-        lines += len(rows)
-        distinct_lines += len(set(rows))
+        head, *rest = part.split("\n")
+        open_line.append(head)
+        if rest:
+            seen_lines.add(hash("".join(open_line)))
+            seen_lines.update(map(hash, rest[:-1]))
+            open_line = [rest[-1]]
+            lines += len(rest)
+    seen_lines.add(hash("".join(open_line)))
+    lines = lines if text else 0
+    distinct, distinct_pairs, distinct_lines, pairs = len(seen_words), len(seen_pairs), len(seen_lines) if text else 0, max(0, words - 1)
     n = counts.sum()
     letters = counts[_LOWER] + counts[_UPPER]
 
@@ -170,9 +186,9 @@ def classify(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -
 
 
 def accepted(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -> DataFrame:
-    """The rows of docs, all columns, that the classifier doesn't reject. Texts are measured again in place and never shuffled."""
-    measured = staged(statistics(docs))
-    model = fit(measured, labels, shrinkage)
+    """The rows of docs, all columns, that the classifier doesn't reject. Texts are measured in place and never shuffled; to fit, only
+    those outside fold 1 are measured before."""
+    model = fit(statistics(docs.where(~held_out())), labels, shrinkage)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,15 +1,16 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts, for every training row, the hashed 1- to 3-grams of the lower-cased text. Each task adds up its rows in
-dense vectors first, so that a language with a third of all rows costs no more than any other; the driver gets one
-vector of `buckets` counts per language and turns them into a log-probability matrix. The matrix (languages x buckets,
+dense vectors first, so that a language with a third of all rows costs no more than any other; Spark adds them up by language and bucket, so
+no task holds the vectors of many others. The driver gets one vector of BUCKETS counts per language and turns them into a log-probability matrix. The matrix (languages x buckets,
 float32) is broadcast: its size depends on the number of languages and not on the input.
 
 Scoring gathers matrix rows for the n-grams of a batch and sums them per document in numpy, in slices of SLICE characters,
 so that a very long text needs no more memory than a batch of short ones.
 
 Defined results: a text that is null or has no letter gets `und` and score 0; so does every text if nothing could be learned.
-The score is the posterior probability of lang_pred. Ties go to the language that comes first by code point. Repeated
+The score is the posterior probability of lang_pred. Ties go to the language that comes first by code point. Rows with a null lang teach nothing, and a null doc_id is
+kept as it is. Repeated
 rows count as often as they occur. Columns other than doc_id, text and lang are not read.
 """
 
@@ -96,30 +97,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, own in counts.items():
         if gathered[lang].size:
             settle(lang)
-        yield pa.RecordBatch.from_pydict({"lang": [lang], "docs": [docs[lang]], "counts": [own]}, schema=_COUNTED)
-
-
-_COUNTED = pa.schema([("lang", pa.string()), ("docs", pa.int64()), ("counts", pa.list_(pa.int64()))])
+        held = np.flatnonzero(own)
+        bucket, n = np.append(held, BUCKETS), np.append(own[held], docs[lang])  # the last stands for the number of texts
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64())], names=["lang", "bucket", "n"])
 
 
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probability matrix (languages x BUCKETS) and log priors, from all rows (lang, text)."""
     rows = labelled.where("lang is not null and text is not null").select("lang", "text")
-    partial = rows.mapInArrow(_count, "lang string, docs long, counts array<long>")
-    tasks = max(1, labelled.sparkSession.sparkContext.defaultParallelism)
-    width = 4  # partial vectors of a language are first added in a few places, then in one
-    salted = partial.withColumn("salt", F.spark_partition_id() % (tasks * width))
-
-    def add(left, right):
-        return F.zip_with(left, right, lambda a, b: a + b)
-
-    zero = F.array_repeat(F.lit(0).cast("long"), BUCKETS)
-
-    def summed(df, *by):
-        return df.groupBy(*by).agg(F.sum("docs").alias("docs"), F.reduce(F.collect_list("counts"), zero, add).alias("counts"))
-
-    # at most one row of BUCKETS counts per language reaches the driver
-    total = {r["lang"]: (r["docs"], np.array(r["counts"])) for r in summed(summed(salted, "lang", "salt"), "lang").collect()}
+    summed = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # a row for each language, of at most BUCKETS + 1 entries; so much reaches the driver
+    total = {}
+    for r in summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("own")).collect():
+        vector = np.zeros(BUCKETS + 1, dtype=np.int64)
+        for bucket, n in r["own"]:
+            vector[bucket] = n
+        total[r["lang"]] = vector[BUCKETS], vector[:BUCKETS]
     langs = sorted(total)
     if not langs:
         return [], np.zeros((0, BUCKETS), np.float32), np.zeros(0)

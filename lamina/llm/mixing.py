@@ -5,20 +5,24 @@
 2. Targets: the total is shared by weight; a source stops at `max_repeats` times its size, and the excess is shared again (targets()).
 3. A source's quota: every block floor(target/size) times, and further blocks from a permutation for the rest: those that still fit,
    then the one that comes nearest. This leaves at most half a block (about 1/1000 of a large source) to the target.
-4. The tree: the root holds the quotas of all sources and all output shards. A node splits its shards in two halves and draws the
+4. The tree: the root holds the quotas of all sources and all regions of the output. A node splits its regions in two halves and draws the
    left half's quotas from a multivariate hypergeometric distribution; the right half gets what is left. So quotas are exact
-   at every node, and a shard is composed like a random part of the whole.
-5. A source's drawn blocks, permuted, are cut into disjoint runs by the shards' quotas. mix() sends each copy of a document to
-   its shard and shuffles there locally.
+   at every node, and a region is composed like a random part of the whole. A region holds DRAWS_PER_REGION draws or more, however
+   large the blocks are.
+5. A source's drawn blocks, permuted, are cut into disjoint runs by the regions' quotas: a document is taken once for each region whose run
+   holds its block, and only so. Below the leaf a region's blocks are split among its shards by hash, so shards stay at about SHARD_WORDS words
+   and their number follows the words. mix() sends each copy of a document to its shard and shuffles there locally.
 
 The same seed gives the same result. Defined results: a null text has size 0; documents of size 0 are taken as their block
 is and count nothing; null is a source of its own, after all others; a source without words has target 0; repeated rows share a block
-and are each taken; an empty table gives no rows.
+and are each taken; rows with a null doc_id share one block of their source; an empty table gives no rows. Very long texts are one
+document like others. mix() keeps all columns whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +36,8 @@ CYCLE = (1, 2, 3)
 MAX_REPEATS = 3
 MAX_BLOCKS = 1 << 17
 BLOCKS = 1024
-SHARD_WORDS = 50_000_000
+DRAWS_PER_REGION = 64
+SHARD_WORDS = 1_000_000
 SEED = 20_240_601
 
 
@@ -78,10 +83,10 @@ def draws(words: np.ndarray, target: float, max_repeats: int, rng: np.random.Gen
     return times
 
 
-def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """shards x sources: how many block draws of each source a shard gets. Sums over shards are exactly the quotas."""
-    out = np.zeros((shards, len(quotas)), dtype=np.int64)
-    nodes = [(0, shards, quotas.astype(np.int64))]
+def split_quotas(quotas: np.ndarray, regions: int, rng: np.random.Generator) -> np.ndarray:
+    """regions x sources: how many block draws of each source a region gets. Sums over regions are exactly the quotas."""
+    out = np.zeros((regions, len(quotas)), dtype=np.int64)
+    nodes = [(0, regions, quotas.astype(np.int64))]
     while nodes:
         first, n, own = nodes.pop()
         if n == 1:
@@ -94,9 +99,18 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return out
 
 
-def deal(measured: DataFrame, weights: tuple[int, ...] = CYCLE, max_repeats: int = MAX_REPEATS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> tuple[DataFrame, int]:
-    """For each source and block of measured (sizes()): source_size, target and shards, the output shards that take the block, one
-    entry for each time; and the number of blocks. The frame has at most MAX_BLOCKS rows, or 16 for each source where there are more than MAX_BLOCKS / 16."""
+@dataclass(frozen=True)
+class Deal:
+    """rows: _source, _block, source_size, target and regions, those that take the block, one entry for each time."""
+
+    rows: DataFrame
+    blocks: int
+    regions: int
+    shards: int
+
+
+def deal(measured: DataFrame, weights: tuple[int, ...] = CYCLE, max_repeats: int = MAX_REPEATS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> Deal:
+    """The draw of all blocks of measured (sizes()). It has at most MAX_BLOCKS rows, or 16 for each source where there are more than MAX_BLOCKS / 16."""
     spark = measured.sparkSession
     n_sources = max(1, measured.select("source").distinct().count())
     n_blocks = max(16, min(BLOCKS, MAX_BLOCKS // n_sources))
@@ -111,46 +125,54 @@ def deal(measured: DataFrame, weights: tuple[int, ...] = CYCLE, max_repeats: int
     rng = np.random.default_rng(seed)
     blocks = [np.array(sorted(by_source[s]), dtype=np.int64) for s in sources]
     times = [draws(np.array([by_source[s][b] for b in own]), t, max_repeats, rng) for s, own, t in zip(sources, blocks, target, strict=True)]
+    drawn = np.array([t.sum() for t in times], dtype=np.int64)
     shards = max(1, math.ceil(sum(size) / shard_words))
-    quotas = split_quotas(np.array([t.sum() for t in times], dtype=np.int64), shards, rng) if sources else np.zeros((shards, 0), dtype=np.int64)
+    regions = max(1, min(shards, int(drawn.sum()) // DRAWS_PER_REGION))
+    quotas = split_quotas(drawn, regions, rng)
     dealt = []
     for k, source in enumerate(sources):
-        drawn = rng.permutation(np.repeat(np.arange(len(blocks[k])), times[k]))
-        shard = np.repeat(np.arange(shards), quotas[:, k])
+        permuted = rng.permutation(np.repeat(np.arange(len(blocks[k])), times[k]))
+        runs = np.split(permuted, np.cumsum(quotas[:, k])[:-1])
         taken: dict[int, list[int]] = {}
-        for b, s in zip(drawn.tolist(), shard.tolist(), strict=True):
-            taken.setdefault(b, []).append(s)
+        for region, run in enumerate(runs):
+            for b in run.tolist():
+                taken.setdefault(b, []).append(region)
         dealt += [(source, int(b), size[k], float(target[k]), taken.get(j, [])) for j, b in enumerate(blocks[k])]
-    schema = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_block", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("shards", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_block", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("regions", T.ArrayType(T.IntegerType()))])
     made = spark.createDataFrame(dealt, schema)
-    return F.broadcast(made) if len(dealt) <= MAX_BLOCKS else made, n_blocks
+    return Deal(F.broadcast(made) if len(dealt) <= MAX_BLOCKS else made, n_blocks, regions, shards)
+
+
+def _dealt(rows: DataFrame, dealt: Deal, key: Column) -> DataFrame:
+    """rows with source_size, target and copies (shard, order): one entry for each time that the document is taken. key is the hash that sizes() made."""
+    block = F.pmod(key, F.lit(dealt.blocks)).cast("int")
+    same = rows["source"].eqNullSafe(dealt.rows["_source"]) & (block == dealt.rows["_block"])
+
+    def edge(region: Column) -> Column:
+        return F.floor(region.cast("long") * dealt.shards / dealt.regions)
 
+    def place(region: Column, copy: Column) -> Column:
+        within = F.pmod(F.xxhash64(F.lit(SEED + 1), key, copy), edge(region + 1) - edge(region))
+        return F.struct((edge(region) + within).alias("shard"), F.xxhash64(F.lit(SEED + 2), key, copy).alias("order"))
 
-def _dealt(rows: DataFrame, measured: DataFrame, key: Column, **options: object) -> DataFrame:
-    """rows with source_size, target and shards of their source and block; key is the hash that sizes() made."""
-    dealt, n_blocks = deal(measured, **options)
-    block = F.pmod(key, F.lit(n_blocks)).cast("int")
-    same = rows["source"].eqNullSafe(dealt["_source"]) & (block == dealt["_block"])
-    return rows.join(dealt, same).drop("_source", "_block")
+    return rows.join(dealt.rows, same).withColumn("copies", F.transform("regions", place)).drop("_source", "_block", "regions")
 
 
 def plan(measured: DataFrame, **options: object) -> DataFrame:
-    """measured (sizes()) with source_size, target and shards: the output shards that take the document, one entry for each copy."""
-    return _dealt(measured, measured, measured["hash"], **options)
+    """measured (sizes()) with source_size, target and copies: shard and order of each copy of the document in the mix."""
+    return _dealt(measured, deal(measured, **options), measured["hash"])
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
     """The mixed corpus: rows of docs, all columns, once for each copy, dealt to shards and shuffled within each. docs is read twice."""
     key = F.xxhash64(F.lit(SEED), docs["doc_id"])
     own = docs.select(F.struct(*docs.columns).alias("_row"), docs["source"].alias("source"), key.alias("_key"))
-    dealt = _dealt(own, staged(sizes(docs)), own["_key"], **options)
-    copies = dealt.select("_row", "_key", F.posexplode("shards").alias("_copy", "_shard"))
-    # a shard is spread over up to 8 tasks, and its rows stand in a random order in each
-    order = F.xxhash64(F.lit(SEED + 1), "_key", "_copy")
-    spread = copies.repartition(F.col("_shard"), F.pmod(order, F.lit(8))).sortWithinPartitions("_shard", order)
-    return spread.select("_row.*")
+    dealt = _dealt(own, deal(staged(sizes(docs)), **options), own["_key"])
+    copies = dealt.select("_row", F.explode("copies").alias("_copy")).select("_row", F.col("_copy.shard").alias("_shard"), F.col("_copy.order").alias("_order"))
+    return copies.repartition("_shard").sortWithinPartitions("_shard", "_order").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = plan(staged(sizes(table(spark, sf_dir, "documents"))))
-    return planned.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).alias("taken"))
+    listed = [F.array_join(F.transform("copies", lambda c, n=n: c[n].cast("string")), ",").alias(f"{n}s") for n in ("shard", "order")]
+    return planned.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).alias("taken"), *listed)

@@ -7,9 +7,10 @@ of a coarse score. From the most significant slice downward, the rows split into
 TOP + 1 best coarse scores are fixed. All dropped parts together can lift a row by at most `slack`, so the rows whose coarse
 score is within that of the least chosen one are the boundary; they are resolved by their exact integer products. So results are exact.
 
-Queries are dealt over blocks of rows by block number; each block of rows returns TOP + 1 rows for a query, and Spark takes the best.
+A task takes one block of rows, builds its slices once and works off a part of the queries, of QUERY_BLOCK at most; there are more parts only where
+blocks alone would leave cores idle. Each block returns TOP + 1 rows for a query, and Spark takes the best.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part; only vectors of one length meet.
+Arithmetic is that of 64-bit integers: a component beyond 2**63 / 1024 counts as the largest one, and a score beyond 64 bits wraps. Defined results: vectors that are null, empty, or hold null or non-finite components take no part; only vectors of one length meet.
 Repeated rows and equal vectors are candidates each; fewer than TOP candidates give all of them.
 """
 
@@ -25,7 +26,8 @@ from lamina.llm.common import staged, table
 
 SCALE = 1024
 BLOCK_ROWS = 16_384
-QUERY_BLOCK = 256
+QUERY_BLOCK = 16_384
+LEAST_QUERIES = 32
 DROPPED = 2
 
 
@@ -149,7 +151,9 @@ def search(rows: DataFrame, block_rows: int = BLOCK_ROWS, query_block: int = QUE
     own = staged(V.keyed(rows, "v"))
     different = staged(V.distinct_vectors(own))
     n, asked = different.agg(F.count("*"), F.coalesce(F.sum("asked"), F.lit(0))).first()
-    n_blocks, q_blocks = max(1, round(n / block_rows)), max(1, round(asked / query_block))
+    n_blocks = max(1, round(n / block_rows))
+    tasks = 2 * own.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(1, -(-asked // query_block), min(-(-tasks // n_blocks), asked // LEAST_QUERIES))
     row = F.pmod(F.xxhash64("vec"), F.lit(n_blocks)).cast("int")
     query = F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(q_blocks)).cast("int")
 

@@ -2,11 +2,13 @@
 
 Equal vectors have equal scores, so a search runs over different vectors only. Each keeps its TOP + 1 least ids: with more, no copy
 could be among the first TOP of any query, its own row left out.
+
+Rows with a null vec_id take no part. Rows that share a vec_id but not a vector are queries and candidates each, under that id; a row is never
+its own query's candidate, nor is another row of its id.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,8 +37,11 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     # row_number over ids that are first made distinct; the limit on it is applied before the shuffle too
     ranked = rows.select("k1", "k2", "vec_id", F.row_number().over(W.partitionBy("k1", "k2").orderBy("vec_id")).alias("rank")).where(F.col("rank") <= TOP + 1)
     ids = ranked.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    # vec tells vectors apart: of several whose least id is the same, all but one get a number of their own
+    again = F.row_number().over(W.partitionBy(F.col("ids")[0]).orderBy("k1", "k2")) > 1
+    named = ids.withColumn("vec", F.when(again, -1 - F.pmod("k1", F.lit(1 << 62))).otherwise(F.col("ids")[0]))
     any_asked = rows.groupBy("k1", "k2").agg(F.max(asked).alias("asked"), F.first("v").alias("v"))
-    return any_asked.join(ids, ["k1", "k2"]).select(F.col("ids")[0].alias("vec"), "k1", "k2", "v", "ids", "asked")
+    return any_asked.join(named, ["k1", "k2"]).select("vec", "k1", "k2", "v", "ids", "asked")
 
 
 def best_ids(hits: DataFrame, vectors: DataFrame, descending: bool) -> DataFrame:
@@ -59,14 +64,6 @@ def answers(rows: DataFrame, vectors: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select("query_id", F.posexplode(others)).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.id").alias("vec_id"), F.col("col.score").alias("score"))
 
 
-def matrix(column: pa.Array) -> "np.ndarray":  # noqa: F821
-    """A list column of vectors of one length, as rows of float64."""
-    import numpy as np
-
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 0))
-
-
 def dimensions(vectors: DataFrame) -> list[int]:
     return sorted(r["d"] for r in vectors.select(F.size("v").alias("d")).distinct().collect())
 

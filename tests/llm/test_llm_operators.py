@@ -489,6 +489,31 @@ def test_neighbours_reach_their_recall(spark):
     assert ann.search(vectors(spark, [])).count() == 0 and ann.search(vectors(spark, [(0, [1.0, 0.0])])).count() == 0
 
 
+def test_recall_holds_as_the_table_grows(spark, monkeypatch):
+    """8,000 vectors without structure: a shortlist of a few hundred is far from the table, so both the lists and the estimates must be right."""
+    for lists in (4096, 16):
+        monkeypatch.setattr(ann, "MAX_LISTS", lists)
+        rows = unit_rows(8000, 32, seed=lists)
+        x = np.array([v for _, v in rows], dtype=np.float64)
+        found = {}
+        for r in ann.search(vectors(spark, rows)).collect():
+            found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = 0
+        for q in range(0, 8000, 100):
+            far = np.square(x - x[q]).sum(axis=1)
+            far[q] = np.inf
+            hits += len(found[q] & set(np.argsort(far, kind="stable")[:10].tolist()))
+        assert hits >= 0.93 * 800
+
+
+def test_an_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (2, [0.1, 1.0]), (None, [1.0, 1.0])]
+    near = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(vectors(spark, rows)).collect())
+    assert near == sorted([(0, 1, 1), (0, 2, 2), (0, 3, 2), (0, 1, 2), (0, 2, 2), (0, 3, 1)])
+    best = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in bitslice.search(bitslice.quantised(vectors(spark, rows))).collect())
+    assert best == near
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>no</article>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav><!-- c -->
 <div class="ad-box">advert</div><article><h1>Head &amp; line</h1><div class="cookie-notice">notice</div><p>One <b>bold<br>line</b>&nbsp;two<p>Second &lt;p&gt; &#233; 1 < 2<form><input value=x>form</form><div id="comments"><p>reader</p></div><ul><li>item<li>other</ul></article><aside>side</aside><footer>foot</footer></body></html>"""
 

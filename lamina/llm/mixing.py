@@ -174,5 +174,5 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = plan(staged(sizes(table(spark, sf_dir, "documents"))))
-    listed = [F.array_join(F.transform("copies", lambda c, n=n: c[n].cast("string")), ",").alias(f"{n}s") for n in ("shard", "order")]
-    return planned.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).alias("taken"), *listed)
+    shards, orders = [F.array_join(F.col(f"copies.{name}").cast("array<string>"), ",") for name in ("shard", "order")]
+    return planned.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).alias("taken"), shards.alias("shards"), orders.alias("orders"))

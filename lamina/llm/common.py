@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
+_SCOPES: list[list[str]] = []  # of each open scratch() the folders staged in it
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,16 +36,36 @@ def staged(df: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lamina-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    path = f"{shared_dir(spark)}/lamina-{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+def scratch(make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), whose last act must be to stage the frame that it returns. What it staged before is removed: that frame is written and
+    doesn't need it any more."""
+    _SCOPES.append([])
+    try:
+        made = make()
+    finally:
+        own = _SCOPES.pop()
+    for path in own[:-1]:
+        _remove(made.sparkSession, path)
+    if _SCOPES:
+        _SCOPES[-1].append(own[-1])
+    return made
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Removes what is left: call it when the results have been written."""
+    _remove(spark, f"{shared_dir(spark)}/lamina-{spark.sparkContext.applicationId}")
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3

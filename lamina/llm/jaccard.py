@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import staged, table
+from lamina.llm.common import scratch, staged, table
 
 WIDTH = 5
 THRESHOLD = (4, 5)  # similarity as a fraction, so that the test is exact
@@ -392,6 +392,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _labelled(docs: DataFrame, recall: float) -> DataFrame:
     """rec, first, copies, n_links (null for none) and label, the least rec of its class, of each different text."""
+    return scratch(lambda: _label(docs, recall))
+
+
+def _label(docs: DataFrame, recall: float) -> DataFrame:
     recs = staged(records(docs))
     found = links(docs, recs, runs(recall))
     labels = components(found.select(F.col("rec").alias("a"), F.col("least").alias("b")))

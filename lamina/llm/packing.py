@@ -7,7 +7,7 @@ least sufficient space in a few integer operations. If no open bin fits, a new o
 the fullest closes first. Every packer leaves at most `open_bins` bins unfilled, however long the input is.
 
 Tokenising goes word by word: the vocabulary drops white space and never merges across it, so the ids of a text are the ids of
-its blank-separated parts in order. Each task keeps the ids of the parts it has met in a cache of CACHE_BYTES at most.
+its blank-separated parts in order. Each worker keeps the ids of parts it has met, of two generations of CACHE_WORDS short ones at most.
 
 A packed row holds the ids themselves, little-endian uint32 as in `encode`, so the rows of a sequence in order of offset are its
 tokens: sequences() joins them. The query gives a length and a crc32 in place of the ids.
@@ -107,12 +107,12 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, ids: the documents' token sequences, cut."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, ids: the documents' token sequences, cut. Without a path each worker finds its own vocabulary file."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path or tokenizer_path())
         closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
@@ -192,7 +192,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, p
 
 
 def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return pack(staged(pieces(docs, path or tokenizer_path())))
+    return pack(staged(pieces(docs, path)))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import staged, table
+from lamina.llm.common import scratch, staged, table
 
 SENTENCES = 3
 LEAST_WORDS = 40
@@ -165,13 +165,7 @@ def _cut(least: int, count: int):
 
 def deduplicated(docs: DataFrame, least: int = LEAST_WORDS, count: int = SENTENCES) -> DataFrame:
     """doc_id, text without the sentences that occurred before, removed_sentences, and removed_spans: [start, end) in code points."""
-    found = staged(occurrences(docs, least, count))
-    repeated = staged(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
-    shared = staged(found.join(repeated, "hash", "left_semi"))
-    place = F.struct("doc_id", "key", "run")
-    origin = staged(shared.groupBy("hash").agg(F.min(place).alias("origin")))
-    later = shared.join(origin, "hash").where(~place.eqNullSafe(F.col("origin")))
-    gone = staged(later.groupBy("doc_id", "key").agg(F.collect_set("run").alias("gone")))
+    gone = scratch(lambda: _later(docs, least, count))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     own = gone.withColumnsRenamed({"doc_id": "_doc_id", "key": "_key"})
     same = keyed["doc_id"].eqNullSafe(own["_doc_id"]) & (keyed["key"] == own["_key"])
@@ -180,5 +174,16 @@ def deduplicated(docs: DataFrame, least: int = LEAST_WORDS, count: int = SENTENC
     return joined.mapInArrow(_cut(least, count), f"doc_id {kind}, text string, removed_sentences int, removed_spans array<array<int>>")
 
 
+def _later(docs: DataFrame, least: int, count: int) -> DataFrame:
+    """doc_id, key, gone: of each text the numbers of its runs that aren't the first of their hash."""
+    found = staged(occurrences(docs, least, count))
+    repeated = staged(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    shared = staged(found.join(repeated, "hash", "left_semi"))
+    place = F.struct("doc_id", "key", "run")
+    origin = staged(shared.groupBy("hash").agg(F.min(place).alias("origin")))
+    later = shared.join(origin, "hash").where(~place.eqNullSafe(F.col("origin")))
+    return staged(later.groupBy("doc_id", "key").agg(F.collect_set("run").alias("gone")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "removed_sentences", "text", F.array_join(F.transform("removed_spans", lambda s: F.concat_ws(":", s[0], s[1])), ",").alias("removed_spans"))

@@ -645,6 +645,28 @@ def test_sentences_cover_the_text():
     assert runs.sentences(b" \n ") == [] and len(runs.hashes(b"")) == 0
 
 
+def test_scratch_keeps_the_last_frame_only(spark):
+    made, held = [], []
+
+    def make():
+        held.append(common.staged(docs(spark, ["a", "b"])))
+        made.append(common.scratch(lambda: common.staged(common.staged(held[0]).select("doc_id"))))
+        return common.staged(made[0].join(held[0], "doc_id"))
+
+    assert common.scratch(make).count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        held[0].collect()
+    assert not common._SCOPES
+
+
+def test_the_mix_query(spark, tmp_path):
+    docs(spark, ["a b c"] * 30, sources=["x", "y", "z"] * 10).write.parquet(f"{tmp_path}/documents.parquet")
+    out = mixing.query(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint"), ("shards", "string"), ("orders", "string")]
+    rows = out.collect()
+    assert sum(r["taken"] for r in rows) == 90 and all(len(r["shards"].split(",") if r["shards"] else []) * 3 == r["taken"] for r in rows)
+
+
 def test_a_stage_folder_is_released(spark):
     assert common.staged(docs(spark, ["a"])).count() == 1
     common.release(spark)

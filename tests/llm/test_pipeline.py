@@ -32,3 +32,21 @@ def test_stages_take_effect(spark, tmp_path):
     assert masked[62].startswith("Key <SECRET> ") and masked[5] == texts[5]
     assert ids["packing"] == ids["mixing"] <= ids["secrets"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept["packing"].count()
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, base string, row int, rec string, hash long"
+    odd = [(None, "some words without an id", "en", None, 24, "b", 1, "r", 5), (None, "some words without an id", "en", None, 24, "b", 1, "r", 5), (None, None, None, "a", 0, None, None, None, None)]
+    odd += [(1, "", "en", "a", 0, "b", 1, "r", 5), (2, "x" * 5000 + " token=abcdefghijklmnop0123", "en", "b", 5027, "b", 1, "r", 5), (2, "two rows of one id", "en", "b", 18, "b", 1, "r", 5)]
+    for rows in ([], odd):
+        at = str(tmp_path / str(len(rows)))
+        spark.createDataFrame(rows, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        docs, counts = spark.read.parquet(f"{at}/documents.parquet"), []
+        for name, stage in corpus_pipeline.STAGES:
+            docs = staged(stage(spark, docs, at))
+            counts.append(docs.count())
+            assert name == "packing" or docs.columns == [c.split()[0] for c in schema.split(", ")]
+        assert corpus_pipeline.run(spark, at).count() == counts[-1]
+        # without labels nothing is rejected; one of the two copies goes; all sources meet their targets somehow
+        assert counts[:3] == ([0, 0, 0] if not rows else [6, 5, 5]) and (counts[-1] > 0) == bool(rows)

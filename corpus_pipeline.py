@@ -8,6 +8,9 @@ stages but the last return the columns of documents:
 3. secrets      spans found in a text are replaced by a mask;
 4. mixing       documents are repeated or left out so that sources meet their target weights, and shuffled within shards;
 5. packing      documents become pieces of token ids with their places in sequences of 2048 tokens.
+
+Defined results: empty tables give empty results; rows with a null text or a null doc_id go through every stage like others (copies of one
+text without an id count as copies); without labels nothing is rejected; other columns are kept, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import jaccard, mixing, packing, quality, secrets
-from lamina.llm.common import staged, table
+from lamina.llm.common import scratch, staged, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +58,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        # what a stage wrote on its way goes as soon as its result is written; release() removes the results themselves
+        docs = scratch(lambda stage=stage, docs=docs: staged(stage(spark, docs, sf_dir)))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -35,7 +35,7 @@ LEAST_WORDS = 40
 MARKS = b".!?,;:"
 CUT = 5
 _WORD = re.compile(rb"[^ \t\n\r\f\v]+")
-_CACHE = 1 << 20
+_CACHE = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 
 

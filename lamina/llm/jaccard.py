@@ -42,7 +42,7 @@ TARGET_RECALL = 0.9999
 #: A pair of similarity 0.8 agrees in fewer slots with a probability of about 1e-6.
 LEAST_SLOTS = 36
 _BIG = 1 << 61
-_CACHE = 1 << 20
+_CACHE = 1 << 17
 _VOCABULARY = 1 << 16
 
 

@@ -23,8 +23,8 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ CAPACITY = 2048
 OPEN_BINS = 512
 PIECES_PER_PACKER = 16_384
 CLOSING_ID = 0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 LONGEST_CACHED = 48
 TOKENIZER = "word_bpe_49k.json"
 
@@ -171,13 +171,14 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN
     return bins, offsets
 
 
-def _packer(capacity: int, open_bins: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def pack_one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "doc_id", "piece", "ids_crc32"], kind="stable")
-        bins, offsets = best_fit(rows["length"].tolist(), capacity, open_bins)
-        rows["sequence_id"] = rows["packer"].astype("int64") * (1 << 32) + np.array(bins, dtype=np.int64)
-        rows["offset"] = np.array(offsets, dtype=np.int64)
-        return rows.drop(columns=["packer", "order"])
+def _packer(capacity: int, open_bins: int) -> Callable[[pa.Table], pa.Table]:
+    def pack_one(rows: pa.Table) -> pa.Table:
+        ordered = rows.select(["order", "doc_id", "piece", "ids_crc32"])
+        rows = rows.take(pc.sort_indices(ordered, sort_keys=[(c, "ascending") for c in ordered.column_names]))
+        bins, offsets = best_fit(rows.column("length").to_pylist(), capacity, open_bins)
+        packer = rows.column("packer")[0].as_py()
+        sequence = pa.array(packer * (1 << 32) + np.array(bins, dtype=np.int64))
+        return rows.drop_columns(["packer", "order"]).append_column("sequence_id", sequence).append_column("offset", pa.array(offsets, pa.int64()))
 
     return pack_one
 
@@ -188,7 +189,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, p
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = cut.withColumn("order", order).withColumn("packer", F.pmod(F.xxhash64("order"), F.lit(packers)).cast("int"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("packer").applyInPandas(_packer(capacity, open_bins), schema)
+    return dealt.groupBy("packer").applyInArrow(_packer(capacity, open_bins), schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:

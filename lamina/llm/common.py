@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
 _OWN_DIR: dict[str, str] = {}
 _SCOPES: list[list[str]] = []  # of each open scratch() the folders staged in it
 
@@ -61,6 +62,14 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of BATCH_ROWS, unless the session has a number of its own: Spark's default of 10,000 documents takes some
+    hundred megabytes outside the heap of every executor, for buffers on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def release(spark: SparkSession) -> None:
     """Removes what is left: call it when the results have been written."""
     _remove(spark, f"{shared_dir(spark)}/lamina-{spark.sparkContext.applicationId}")

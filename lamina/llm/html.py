@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.common import staged, table
+from lamina.llm.common import small_batches, staged, table
 
 PATHS = 8
 VERDICTS = 64
@@ -280,6 +280,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def winners(pages: DataFrame, paths: int = PATHS) -> DataFrame:
     """host, paths (its strongest paths, strongest first), stay and go (its most frequent marked paths, by their verdict), pages."""
+    small_batches(pages.sparkSession)
     votes = pages.select(host().alias("host"), "html").mapInArrow(_votes, "host string, path string, votes long, share long, times long, pages long")
     summed = staged(votes.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("votes", "share", "times", "pages")]))
 

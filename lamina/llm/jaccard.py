@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import scratch, staged, table
+from lamina.llm.common import scratch, small_batches, staged, table
 
 WIDTH = 5
 THRESHOLD = (4, 5)  # similarity as a fraction, so that the test is exact
@@ -127,6 +127,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def records(docs: DataFrame) -> DataFrame:
     """rec, first (the least doc_id), copies, n (shingles), sig and short (one byte a slot) of each different text."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = _keyed(docs).mapInArrow(_signatures, f"rec binary, doc_id {kind}, n long, sig binary, short binary")
     return signed.groupBy("rec").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("short").alias("short"))

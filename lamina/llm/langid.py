@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import held_out, table
+from lamina.llm.common import held_out, small_batches, table
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.1
@@ -104,6 +104,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probability matrix (languages x BUCKETS) and log priors, from all rows (lang, text)."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").select("lang", "text")
     summed = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # a row for each language, of at most BUCKETS + 1 entries; so much reaches the driver

@@ -28,13 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import staged, table
+from lamina.llm.common import small_batches, staged, table
 
 CAPACITY = 2048
 OPEN_BINS = 512
 PIECES_PER_PACKER = 16_384
 CLOSING_ID = 0
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 LONGEST_CACHED = 48
 TOKENIZER = "word_bpe_49k.json"
 
@@ -109,6 +109,7 @@ def encoder(path: str) -> WordEncoder:
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids: the documents' token sequences, cut. Without a path each worker finds its own vocabulary file."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import held_out, staged, table
+from lamina.llm.common import held_out, small_batches, staged, table
 
 NAMES = ("chars", "words", "word_length", "letters", "upper", "digits", "stops", "calls", "symbols", "lines", "distinct_words", "distinct_pairs", "distinct_lines", "capitalised", "longest_word", "kinds")
 SHRINKAGE = 0.02
@@ -104,6 +104,7 @@ def text_statistics(text: str, kinds: np.ndarray) -> list[float]:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and x, the statistics of every text, for all rows of docs."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import scratch, staged, table
+from lamina.llm.common import scratch, small_batches, staged, table
 
 SENTENCES = 3
 LEAST_WORDS = 40
@@ -128,6 +128,7 @@ def _hashed(least: int, count: int):
 
 def occurrences(docs: DataFrame, least: int = LEAST_WORDS, count: int = SENTENCES) -> DataFrame:
     """doc_id, key (hash of the text), run (its number) and hash of every run of every text."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(_hashed(least, count), f"doc_id {kind}, key long, run int, hash long")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import vectors as V
-from lamina.llm.common import staged, table
+from lamina.llm.common import staged, table, tidy
 
 SAMPLE = 8192
 MAX_LISTS = 4096
@@ -179,7 +179,7 @@ def calibrate(model: Model, different: DataFrame, index: DataFrame, recall: floa
         return
     queries = np.stack(asked["v"].to_numpy()).astype(np.float64)
     shared = spark.sparkContext.broadcast((asked["vec"].to_numpy(), queries))
-    hits = different.select("vec", "v").mapInPandas(_exact(shared), "q int, vec long, far double")
+    hits = different.select("vec", "v").mapInPandas(tidy(_exact(shared)), "q int, vec long, far double")
     near = F.broadcast(V.limited(hits, "q", [F.asc("far"), F.asc("vec")], V.TOP).select("q", "vec"))  # at most CALIBRATION * TOP rows
     found = index.join(near, "vec").select("q", "list", "codes").toPandas().sort_values("q")
     if not len(found):
@@ -193,7 +193,7 @@ def calibrate(model: Model, different: DataFrame, index: DataFrame, recall: floa
     bounds = np.full((len(queries), V.TOP), -np.inf)
     place = found.groupby("q").cumcount().to_numpy()
     bounds[q, place] = far
-    counts = index.select("list", "codes").mapInPandas(_places(spark.sparkContext.broadcast(model), queries, bounds, probed), "q int, k int, n long")
+    counts = index.select("list", "codes").mapInPandas(tidy(_places(spark.sparkContext.broadcast(model), queries, bounds, probed)), "q int, k int, n long")
     nearer = {(r["q"], r["k"]): r["n"] for r in counts.groupBy("q", "k").agg(F.sum("n").alias("n")).collect()}  # at most CALIBRATION * TOP rows
     model.shortlist = max(LEAST_SHORTLIST, math.ceil(MARGIN * (_quantile(np.array([nearer[a, b] for a, b in zip(q.tolist(), place.tolist(), strict=True)]), recall) + 1)))
 
@@ -277,13 +277,13 @@ def _search_one_length(different: DataFrame) -> DataFrame:
     spark = different.sparkSession
     model = fit(different, different.count())
     shared = spark.sparkContext.broadcast(model)
-    index = staged(different.select("vec", "v").mapInPandas(_encoder(shared), "vec long, list int, codes binary, term double"))
+    index = staged(different.select("vec", "v").mapInPandas(tidy(_encoder(shared)), "vec long, list int, codes binary, term double"))
     sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS rows
     model.sizes = np.array([sizes.get(k, 0) for k in range(len(model.centroids))])
     calibrate(model, different, index)
     shared = spark.sparkContext.broadcast(model)
     group_of, parts_of = groups(model.sizes)
-    probed = different.where("asked = 1").select("vec", "v").mapInPandas(_prober(shared, group_of), "vec long, v array<float>, group int, lists array<int>")
+    probed = different.where("asked = 1").select("vec", "v").mapInPandas(tidy(_prober(shared, group_of)), "vec long, v array<float>, group int, lists array<int>")
     asking = staged(probed)
     asked = {r["group"]: r["n"] for r in asking.groupBy("group").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS rows
     group = F.array(*map(F.lit, group_of))[F.col("list")]

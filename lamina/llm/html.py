@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.common import small_batches, staged, table
+from lamina.llm.common import small_batches, staged, table, tidy
 
 PATHS = 8
 VERDICTS = 64
@@ -281,7 +281,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def winners(pages: DataFrame, paths: int = PATHS) -> DataFrame:
     """host, paths (its strongest paths, strongest first), stay and go (its most frequent marked paths, by their verdict), pages."""
     small_batches(pages.sparkSession)
-    votes = pages.select(host().alias("host"), "html").mapInArrow(_votes, "host string, path string, votes long, share long, times long, pages long")
+    votes = pages.select(host().alias("host"), "html").mapInArrow(tidy(_votes), "host string, path string, votes long, share long, times long, pages long")
     summed = staged(votes.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("votes", "share", "times", "pages")]))
 
     def best(rows: DataFrame, by: str, most: int) -> DataFrame:
@@ -318,7 +318,7 @@ def extract(pages: DataFrame, paths: int = PATHS) -> DataFrame:
     columns = ("page_id", "url", "html", "paths", "stay", "go")
     kind = pages.schema["page_id"].dataType
     schema = T.StructType([T.StructField("page_id", kind), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return own.join(hot, "host").select(*columns).unionByName(cold.select(*columns)).mapInArrow(_extract, schema)
+    return own.join(hot, "host").select(*columns).unionByName(cold.select(*columns)).mapInArrow(tidy(_extract), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

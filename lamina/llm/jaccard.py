@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import scratch, small_batches, staged, table
+from lamina.llm.common import scratch, small_batches, staged, table, tidy
 
 WIDTH = 5
 THRESHOLD = (4, 5)  # similarity as a fraction, so that the test is exact
@@ -125,11 +125,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("rec"))
 
 
+def _row_key(doc_id: Column, rec: Column) -> Column:
+    """One digest for an id, null or not, and a text. A join by it can't meet a hot group of copies, and one exchange serves whatever is keyed by it."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")).cast("binary"), rec)))
+
+
 def records(docs: DataFrame) -> DataFrame:
     """rec, first (the least doc_id), copies, n (shingles), sig and short (one byte a slot) of each different text."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = _keyed(docs).mapInArrow(_signatures, f"rec binary, doc_id {kind}, n long, sig binary, short binary")
+    signed = _keyed(docs).mapInArrow(tidy(_signatures), f"rec binary, doc_id {kind}, n long, sig binary, short binary")
     return signed.groupBy("rec").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("short").alias("short"))
 
 
@@ -354,22 +359,19 @@ _CELL = "leaf long, cell long, block int, rec binary, n long, sig binary, leaves
 
 
 def _by_cell(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return rows.repartition("leaf", "cell").sortWithinPartitions("leaf", "cell", "rec").mapInArrow(work, schema)
+    return rows.repartition("leaf", "cell").sortWithinPartitions("leaf", "cell", "rec").mapInArrow(tidy(work), schema)
 
 
 def links(docs: DataFrame, recs: DataFrame, n_runs: int) -> DataFrame:
     """rec, links, least for each cell in which a record has links; each link between different texts counts once."""
     members, stats = leaves(recs, n_runs)
     active = staged(_by_cell(cells(recs, members, stats), _active, _CELL))
-    wanted = staged(active.join(recs.select("rec", F.col("first").alias("doc_id")), "rec").select("doc_id", *active.columns))
-    # the same plan at every size: texts meet the records that ask for them by (doc_id, rec), which no group of copies makes hot
-    asked = wanted.select(F.col("doc_id").alias("_doc_id"), F.col("rec").alias("_rec"))
-    keyed = _keyed(docs)
-    same = keyed["doc_id"].eqNullSafe(F.col("_doc_id")) & (keyed["rec"] == F.col("_rec"))
-    texts = keyed.join(asked.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "rec"])
-    own = texts.select(F.col("doc_id").alias("_doc_id"), F.col("rec").alias("_rec"), "text")
-    same = own["_doc_id"].eqNullSafe(wanted["doc_id"]) & (own["_rec"] == wanted["rec"])
-    sets = own.join(wanted.hint("merge"), same).select(*active.columns, "text").mapInArrow(_sets, f"{_CELL}, tokens binary")
+    named = recs.select("rec", _row_key(F.col("first"), F.col("rec")).alias("key"))
+    wanted = staged(active.join(named, "rec").select("key", *active.columns))
+    # the same plan at every size: texts meet the records that ask for them by key, which no group of copies makes hot
+    keyed = _keyed(docs).select(_row_key(F.col("doc_id"), F.col("rec")).alias("key"), "text")
+    texts = keyed.join(wanted.select("key").hint("merge"), "key", "left_semi").dropDuplicates(["key"])
+    sets = texts.join(wanted.hint("merge"), "key").select(*active.columns, "text").mapInArrow(tidy(_sets), f"{_CELL}, tokens binary")
     return staged(_by_cell(sets, _linked, "rec binary, links long, least binary"))
 
 
@@ -418,11 +420,10 @@ def classes(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
 def deduplicated(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     """One row of docs, all columns, for each class: the one with the least doc_id, or any if all are null. Rows with a null text all stay."""
     best = F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "rec"))
-    kept = _labelled(docs, recall).groupBy("label").agg(best.alias("best")).select(F.col("best.first").alias("_first"), F.col("best.rec").alias("_best"))
-    keyed = docs.withColumn("_rec", F.unhex(F.md5(F.col("text").cast("binary"))))
-    same = (keyed["_rec"] == F.col("_best")) & keyed["doc_id"].eqNullSafe(F.col("_first"))
-    stay = keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_rec"])
-    return stay.select(*docs.columns).unionByName(docs.where("text is null"))
+    kept = _labelled(docs, recall).groupBy("label").agg(best.alias("best")).select(_row_key(F.col("best.first"), F.col("best.rec")).alias("key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _row_key(F.col("doc_id"), F.unhex(F.md5(F.col("text").cast("binary")))).alias("key"))
+    stay = rows.where("key is not null").join(kept, "key", "left_semi").dropDuplicates(["key"])
+    return stay.select("row.*").unionByName(docs.where("text is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

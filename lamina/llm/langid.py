@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import held_out, small_batches, table
+from lamina.llm.common import held_out, small_batches, table, tidy
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.1
@@ -106,7 +106,7 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probability matrix (languages x BUCKETS) and log priors, from all rows (lang, text)."""
     small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").select("lang", "text")
-    summed = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = rows.mapInArrow(tidy(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # a row for each language, of at most BUCKETS + 1 entries; so much reaches the driver
     total = {}
     for r in summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("own")).collect():
@@ -155,7 +155,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(best, pa.string()), pa.array(chance, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(score), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import small_batches, staged, table
+from lamina.llm.common import small_batches, staged, table, tidy
 
 CAPACITY = 2048
 OPEN_BINS = 512
@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> tuple[list[int], list[int]]:

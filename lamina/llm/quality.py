@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import held_out, small_batches, staged, table
+from lamina.llm.common import held_out, small_batches, staged, table, tidy
 
 NAMES = ("chars", "words", "word_length", "letters", "upper", "digits", "stops", "calls", "symbols", "lines", "distinct_words", "distinct_pairs", "distinct_lines", "capitalised", "longest_word", "kinds")
 SHRINKAGE = 0.02
@@ -113,7 +113,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             rows = [text_statistics(t.as_py() or "", kinds) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(measure), f"doc_id {kind}, x array<double>")
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def fit(measured: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) ->
     """From all rows of measured (doc_id, x) that labels (doc_id, quality) marks and fold 1 doesn't hold."""
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     rows = measured.where(~held_out()).join(marks, "doc_id").select("x", "y")
-    sums = rows.mapInArrow(_sums, "y long, i long, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
+    sums = rows.mapInArrow(tidy(_sums), "y long, i long, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
     d = len(NAMES)
     total = np.zeros((2, 1 + d + d * d))
     for r in sums:
@@ -178,7 +178,7 @@ def scores(measured: DataFrame, model: Discriminant) -> DataFrame:
             p = shared.value.score(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return measured.select("doc_id", held_out().alias("held_out"), "x").mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return measured.select("doc_id", held_out().alias("held_out"), "x").mapInArrow(tidy(score), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -> DataFrame:
@@ -199,7 +199,7 @@ def accepted(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -
                 x = np.array([text_statistics(t.as_py() or "", kinds) for t in batch.column("text")])
                 yield batch.filter(pa.array(shared.value.score(x) >= 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

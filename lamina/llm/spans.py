@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import scratch, small_batches, staged, table
+from lamina.llm.common import scratch, small_batches, staged, table, tidy
 
 SENTENCES = 3
 LEAST_WORDS = 40
@@ -131,7 +131,7 @@ def occurrences(docs: DataFrame, least: int = LEAST_WORDS, count: int = SENTENCE
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_hashed(least, count), f"doc_id {kind}, key long, run int, hash long")
+    return rows.mapInArrow(tidy(_hashed(least, count)), f"doc_id {kind}, key long, run int, hash long")
 
 
 def _cut(least: int, count: int):
@@ -172,7 +172,7 @@ def deduplicated(docs: DataFrame, least: int = LEAST_WORDS, count: int = SENTENC
     same = keyed["doc_id"].eqNullSafe(own["_doc_id"]) & (keyed["key"] == own["_key"])
     joined = keyed.join(own, same, "left").select("doc_id", "text", "gone")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(_cut(least, count), f"doc_id {kind}, text string, removed_sentences int, removed_spans array<array<int>>")
+    return joined.mapInArrow(tidy(_cut(least, count)), f"doc_id {kind}, text string, removed_sentences int, removed_spans array<array<int>>")
 
 
 def _later(docs: DataFrame, least: int, count: int) -> DataFrame:

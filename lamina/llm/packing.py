@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import small_batches, staged, table, tidy
+from lamina.llm.common import small_batches, staged, table, tidy, trim
 
 CAPACITY = 2048
 OPEN_BINS = 512
@@ -174,6 +174,9 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN
 
 def _packer(capacity: int, open_bins: int) -> Callable[[pa.Table], pa.Table]:
     def pack_one(rows: pa.Table) -> pa.Table:
+        if _ENCODERS:  # all pieces are cut by now, and this worker needs no vocabulary to pack them
+            _ENCODERS.clear()
+            trim()
         ordered = rows.select(["order", "doc_id", "piece", "ids_crc32"])
         rows = rows.take(pc.sort_indices(ordered, sort_keys=[(c, "ascending") for c in ordered.column_names]))
         bins, offsets = best_fit(rows.column("length").to_pylist(), capacity, open_bins)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lamina.operators.graph import settled
+
 
 def previous_value(value: Column, partition: list[str], order: list[Column | str]) -> Column:
     """The last non-null value strictly before a row."""
@@ -38,4 +40,14 @@ def folded_state(events: DataFrame, keys: list[str], order: list[str], value: st
 
 
 def occurrences(df: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
-    return df.withColumn("occurrence", (F.row_number().over(W.partitionBy(*partition).orderBy(*order)) - 1).cast("bigint"))
+    """df with the number of each row among those of its key, in order, from 0. Rows are dealt by ranges of key and order, so a hot key lies in many
+    parts; a part's rows are numbered within it, and what the parts before it hold of the key is added."""
+    placed = settled(df.repartitionByRange(*partition, *order).withColumn("_part", F.spark_partition_id()))
+    held = placed.groupBy("_part", *partition).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*partition).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = held.select(F.col("_part").alias("_of"), *[F.col(c).alias(f"_{c}") for c in partition], before.alias("_before"))
+    same = F.col("_part") == F.col("_of")
+    for c in partition:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    own = F.row_number().over(W.partitionBy("_part", *partition).orderBy(*order)) - 1
+    return placed.withColumn("_own", own).join(offsets, same).withColumn("occurrence", (F.col("_own") + F.col("_before")).cast("bigint")).select(*df.columns, "occurrence")

@@ -17,12 +17,15 @@ def reach(changes: DataFrame) -> DataFrame:
 
 def candidates(evidence: DataFrame, changes: DataFrame, deaths: DataFrame) -> DataFrame:
     """Quotes (evidence_key, commit, message, char_start, quoted_text, rule, confidence) against what their commit changes. subject is
-    change for each relevant change, and excursion for each removal in the commit, with the number of its removals."""
+    change for each relevant change, and excursion for each removal in the commit, with the number of its removals. Whether a message gathers several
+changes is settled once for each quote, and the message stays behind."""
+    ready = evidence.withColumn("aggregate", ~X.attributable(F.col("message"), F.col("char_start"))).select("evidence_key", "commit", "aggregate", "char_start", "quoted_text", "rule", "confidence")
+    columns = ready.columns
     real = changes.where(F.col("change_level") != "none").select("commit", "entity")
-    stated = evidence.join(real, "commit").select("evidence_key", "commit", "message", "char_start", "quoted_text", "rule", "confidence", F.lit("change").alias("subject"), "entity", F.lit(None).cast("bigint").alias("commit_deaths"))
+    stated = ready.join(real, "commit").select(*columns, F.lit("change").alias("subject"), "entity", F.lit(None).cast("bigint").alias("commit_deaths"))
     count = deaths.groupBy("commit").agg(F.count("*").alias("commit_deaths"))
     gone = deaths.join(count, "commit")
-    removed = evidence.join(gone, "commit").select("evidence_key", "commit", "message", "char_start", "quoted_text", "rule", "confidence", F.lit("excursion").alias("subject"), "entity", "commit_deaths")
+    removed = ready.join(gone, "commit").select(*columns, F.lit("excursion").alias("subject"), "entity", "commit_deaths")
     return stated.unionByName(removed)
 
 
@@ -32,7 +35,7 @@ def gated(found: DataFrame) -> DataFrame:
     typed = F.try_element_at(types, X.marker_of(F.col("rule")))
     claim_type = F.when(F.col("subject") == "excursion", F.when(typed.isNotNull(), "abandoned_reason")).otherwise(typed)
     gate = (
-        F.when(~X.attributable(F.col("message"), F.col("char_start")), "aggregate_message")
+        F.when(F.col("aggregate"), "aggregate_message")
         .when((F.col("subject") == "excursion") & (F.col("commit_deaths") != 1), "several_removals")
         .when(claim_type.isNull(), "untyped_marker")
     )

@@ -68,16 +68,25 @@ def benchmark_contamination(spark: SparkSession, d: str) -> DataFrame:
     return shared.where("shared * 2 >= n").select("doc_id", "item_id", "shared", "copies")
 
 
+_SMALL, _LARGE = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def _ladder_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = tables.read(spark, d, "conversations")
+    """Each turn as it is, and as one of six things happened to it: nothing, a new name, wider blanks, capitals, more words, or another text."""
+    t = tables.read(spark, d, "conversations").withColumn("name", F.concat_ws("#", "role", "turn"))
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    after = F.when(k == 2, F.replace("text", F.lit(" "), F.lit("  "))).when(k == 3, F.translate("text", _SMALL, _LARGE)).when(k == 4, F.concat("text", F.lit(" one two three"))).when(k == 5, F.lit("gone")).otherwise(F.col("text"))
+    changed = t.withColumns({"text": after, "name": F.when(k == 0, F.col("name")).otherwise(F.concat(F.lit("n"), "turn"))})
+    return _ladder_rows(t).drop("hunks"), _ladder_rows(changed)
+
+
+def _ladder_rows(t: DataFrame) -> DataFrame:
     own = words()
-    base = t.select(
-        F.col("conv_id").alias("commit"), (F.col("turn") * 3 + F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)).alias("id"), F.col("turn").alias("turn"), F.col("role").alias("name"), F.lit(1).alias("lineage"), F.lit("turn").alias("kind"), F.lit("text").alias("profile"),
+    return t.select(
+        F.col("conv_id").alias("commit"), (F.col("turn") * 3 + F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)).alias("id"), "name", F.lit(1).alias("lineage"), F.lit("turn").alias("kind"), F.lit("text").alias("profile"),
         hashing.sha(F.col("text")).alias("raw"), hashing.sha(F.array_join(F.split("text", GRAM_LIST), " ")).alias("token"), hashing.sha(F.array_join(own, " ")).alias("alpha"), hashing.sha(F.array_join(own, " ")).alias("alpha_self"), F.size(own).alias("node_count"),
         (F.col("turn") + 1).cast("bigint").alias("start_line"), (F.col("turn") + 1).cast("bigint").alias("end_line"), F.transform(sketch.gram_texts(own), lambda g: F.xxhash64(g)).alias("grams"), F.lit(None).cast("array<struct<old_start:bigint,old_count:bigint,new_start:bigint,new_count:bigint>>").alias("hunks"),
     )
-    return base.where("turn % 4 < 2").drop("turn", "hunks"), base.where("turn % 4 >= 2").drop("turn")
-
 
 def full_ladder(spark: SparkSession, d: str) -> DataFrame:
     prev, next = _ladder_sides(spark, d)
@@ -202,6 +211,36 @@ ex AS (SELECT sp.entity, birth, death, CASE WHEN y.k % 5 = 0 OR first_raw = last
   CASE WHEN y.k % 5 = 0 THEN 'git_revert' WHEN first_raw = last_raw THEN 'inverse_diff' WHEN revisions <= 1 THEN 'short_lifecycle' ELSE 'trajectory' END AS method,
   round(greatest(0, (epoch_us(y.at_ts) - epoch_us(b.at_ts)) / 86400000000.0), 6) AS duration_days, last_revision, last_raw FROM sp JOIN x b ON b.topo = birth JOIN x y ON y.topo = death WHERE death IS NOT NULL AND birth <> death)"""
 
+def _greedy_sql(pairs: str) -> str:
+    """Takes the best pair that is still free again and again, from pairs (commit, prev_id, next_id, score): a recursion over each commit's pairs in
+    order, which carries the ends already taken."""
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY commit ORDER BY score DESC, prev_id, next_id) AS i, list(prev_id) OVER (PARTITION BY commit, next_id, score) AS rivals FROM {pairs}),
+    st AS (SELECT commit, 0::BIGINT AS i, []::BIGINT[] AS ps, []::BIGINT[] AS ns, NULL::BIGINT AS prev_id, NULL::BIGINT AS next_id, NULL::DOUBLE AS score, 0::BIGINT AS ambiguity_size, false AS took FROM (SELECT DISTINCT commit FROM o)
+        UNION ALL SELECT o.commit, o.i, CASE WHEN f THEN list_append(ps, o.prev_id) ELSE ps END, CASE WHEN f THEN list_append(ns, o.next_id) ELSE ns END, o.prev_id, o.next_id, o.score, len(list_filter(o.rivals, lambda x: NOT list_contains(ps, x)))::BIGINT, f
+        FROM (SELECT st.commit AS c, st.i AS k, ps, ns FROM st) s JOIN (SELECT * FROM o) o ON o.commit = s.c AND o.i = s.k + 1, LATERAL (SELECT NOT list_contains(ps, o.prev_id) AND NOT list_contains(ns, o.next_id) AS f)),
+    gr AS (SELECT commit, prev_id, next_id, score, ambiguity_size FROM st WHERE took)"""
+
+
+def _tier_sql(k: int, key: str, where: str = "true") -> str:
+    """What tier k matches of p and n, one to one by key, and what it leaves."""
+    one = "(SELECT commit, {0} AS key, min(id) AS id FROM {1}{2} WHERE {0} IS NOT NULL AND {3} GROUP BY 1, 2 HAVING count(*) = 1)"
+    left = "{0}{1} AS (SELECT * FROM {0}{2} x WHERE NOT EXISTS (SELECT 1 FROM m{1} m WHERE m.commit = x.commit AND m.{3}_id = x.id))"
+    return f"""m{k} AS (SELECT a.commit, a.id AS prev_id, b.id AS next_id FROM {one.format(key, "p", k - 1, where)} a JOIN {one.format(key, "n", k - 1, where)} b USING (commit, key)),
+    {left.format("p", k, k - 1, "prev")}, {left.format("n", k, k - 1, "next")}"""
+
+
+_LADDER_SQL = f"""WITH RECURSIVE sd AS (SELECT conv_id, turn, role, false AS later, role || '#' || turn AS name, text FROM conversations UNION ALL
+        SELECT conv_id, turn, role, true, CASE WHEN (conv_id + turn) % 6 = 0 THEN role || '#' || turn ELSE 'n' || turn END,
+        CASE (conv_id + turn) % 6 WHEN 2 THEN replace(text, ' ', '  ') WHEN 3 THEN translate(text, '{_SMALL}', '{_LARGE}') WHEN 4 THEN text || ' one two three' WHEN 5 THEN 'gone' ELSE text END FROM conversations),
+    tx AS (SELECT *, {_WS} AS ws FROM sd),
+    rw AS (SELECT conv_id AS commit, later, turn * 3 + CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS id, name, text AS raw, array_to_string(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), ' ') AS token, array_to_string(ws, ' ') AS alpha, len(ws) AS size, {_grams_sql("ws")} AS g FROM tx),
+    p0 AS (SELECT * FROM rw WHERE NOT later), n0 AS (SELECT * FROM rw WHERE later),
+    {_tier_sql(1, "name")}, {_tier_sql(2, "raw")}, {_tier_sql(3, "token")}, {_tier_sql(4, "alpha")}, {_tier_sql(5, "alpha", f"size >= {matching.LEAST_NODES}")},
+    sc AS (SELECT commit, a.id AS prev_id, b.id AS next_id, len(list_intersect(a.g, b.g)) AS shared, len(a.g) + len(b.g) AS sizes FROM p5 a JOIN n5 b USING (commit)),
+    pr AS (SELECT commit, prev_id, next_id, shared / (sizes - shared)::DOUBLE AS score FROM sc WHERE shared > 0 AND shared / (sizes - shared)::DOUBLE >= {matching.SAME_FILE}),
+    {_greedy_sql("pr")},
+    ld AS ({" UNION ALL ".join(f"SELECT commit, prev_id, next_id, '{t}' AS tier, NULL::DOUBLE AS score, 1::BIGINT AS ambiguity_size FROM m{k}" for k, t in enumerate(("L1", "L2", "L2", "L3", "L3b"), 1))} UNION ALL SELECT commit, prev_id, next_id, 'L4', round(score, 6), ambiguity_size FROM gr)"""
+
 ORACLE_SQL = {
     "bucket_unique_match": f"WITH {_side_sql('sha256(text)')} SELECT commit, p.id AS prev_id, q.id AS next_id FROM p JOIN q USING (commit, key) WHERE p.n = 1 AND q.n = 1",
     "bucket_ambiguities": f"WITH {_side_sql('sha256(text)')} SELECT commit, key, p.n AS prev_count, q.n AS next_count FROM p JOIN q USING (commit, key) WHERE p.n > 1 OR q.n > 1",
@@ -209,6 +248,12 @@ ORACLE_SQL = {
     "ngram_jaccard_pairs": f"""WITH t AS (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text), w AS (SELECT id, {_WS} AS ws FROM t), g AS (SELECT id, unnest({_grams_sql("ws")}) AS g FROM w), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
         c AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
         SELECT left_id, right_id, shared, round(shared / (x.n + y.n - shared)::DOUBLE, 6) AS score FROM c JOIN n x ON x.id = left_id JOIN n y ON y.id = right_id WHERE shared / (x.n + y.n - shared)::DOUBLE >= 0.7""",
+    "greedy_similarity_match": f"""WITH RECURSIVE t AS (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text), w AS (SELECT id, {_WS} AS ws FROM t), g AS (SELECT id, unnest({_grams_sql("ws")}) AS g FROM w), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+        c AS (SELECT a.id AS prev_id, b.id AS next_id, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY 1, 2),
+        pr AS (SELECT 0 AS commit, prev_id, next_id, shared / (x.n + y.n - shared)::DOUBLE AS score FROM c JOIN n x ON x.id = prev_id JOIN n y ON y.id = next_id WHERE shared / (x.n + y.n - shared)::DOUBLE >= 0.5),
+        {_greedy_sql("pr")} SELECT prev_id, next_id, round(score, 6) AS score, ambiguity_size FROM gr""",
+    "full_ladder_conversations": _LADDER_SQL + " SELECT commit, prev_id, next_id, tier, score, ambiguity_size FROM ld",
+    "ladder_stats": _LADDER_SQL + """ SELECT tier, count(*) AS matches, count(*) FILTER (ambiguity_size > 1)::BIGINT AS ambiguous, CASE WHEN tier = 'L4' THEN count(score)::BIGINT END AS verified, CASE WHEN tier = 'L4' THEN 'tied-candidates' ELSE 'unique-by-construction' END AS meaning FROM ld GROUP BY tier""",
     "benchmark_contamination": f"""WITH t AS (SELECT text, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text), w AS (SELECT doc_id, copies, {_WS} AS ws FROM t), g AS (SELECT doc_id, copies, unnest({_grams_sql("ws")}) AS g FROM w),
         iw AS (SELECT item_id, {_WS} AS ws FROM benchmark), ig AS (SELECT item_id, unnest({_grams_sql("ws")}) AS g FROM iw), n AS (SELECT item_id, count(*) AS n FROM ig GROUP BY 1)
         SELECT doc_id, item_id, count(*) AS shared, copies FROM g JOIN ig USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, copies, n HAVING count(*) * 2 >= n""",

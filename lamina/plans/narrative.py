@@ -39,8 +39,15 @@ def aggregate_message_gate(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("commit", "items", "refs", F.col("linked").cast("bigint").alias("linked"), F.col("stated").cast("bigint").alias("stated"))
 
 
+# one for each rule: a reason, a contrast in the second sentence, a time, a copula, a wrapped sentence, two items, a marker with nothing after it
+_REASONS = (
+    "keep it because stock ran out.", "done early. Use crates instead of bags", "since 2019 it works", "broke, so that's gone", "wrapped because it\ndoes not fit\nhere. More", "because a\n* item because b", "otherwise.",
+)
+
+
 def rationale_extract(spark: SparkSession, d: str) -> DataFrame:
-    m = _messages(spark, d)
+    kind = (F.col("o_orderkey") % len(_REASONS)).cast("int")
+    m = tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("commit"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(" "), F.array(*map(F.lit, _REASONS))[kind]).alias("message"))
     return m.select("commit", F.explode(rationale_spans(F.col("message"))).alias("s")).select("commit", "s.char_start", "s.char_end", "s.quoted_text", "s.rule")
 
 
@@ -131,7 +138,7 @@ def timeline(spark: SparkSession, d: str) -> DataFrame:
     """One row for each real change of a part, with the reach of its commit, the quotes of its claims and its best reference."""
     evidence, changes, deaths = _evidence(spark, d)
     real = changes.where("change_level <> 'none'")
-    derived = settled(claims.derive(claims.candidates(evidence, changes, deaths)).where("subject = 'change'"))
+    derived = claims.derive(claims.candidates(evidence, changes, deaths)).where("subject = 'change'")
     quotes = derived.groupBy("commit", "entity").agg(F.array_join(F.sort_array(F.collect_set(text.unwrap_quote(F.col("quoted_text")))), "\x1f").alias("quotes"))
     reach = claims.reach(changes)
     return real.join(reach, "commit").join(quotes, ["commit", "entity"], "left").select("entity", "commit", "change_level", F.col("entities").alias("reach"), "scope", F.coalesce("quotes", F.lit("")).alias("quotes"))
@@ -153,6 +160,11 @@ ga AS (SELECT *, CASE WHEN subject = 'excursion' AND deaths <> 1 THEN 'several_r
 ORACLE_SQL = {
     "reference_extract": f"WITH {_MESSAGES_SQL}, {_REFS_SQL} SELECT commit, to_key, confidence FROM rr",
     "aggregate_message_gate": f"WITH {_MESSAGES_SQL} SELECT commit, n::BIGINT AS items, n::BIGINT AS refs, CASE WHEN n >= 2 THEN 0 ELSE 1 END::BIGINT AS linked, 1::BIGINT AS stated FROM m",
+    "rationale_extract": """WITH m AS (SELECT o_orderkey AS commit, o_orderkey % 7 AS k, length('o' || o_orderkey || ' ') AS n, 'o' || o_orderkey || ' ' AS pre FROM orders),
+        s AS (SELECT commit, n + 8 AS st, 'because stock ran out.' AS qt, 'causal:because' AS rule FROM m WHERE k = 0 UNION ALL SELECT commit, n + 12, 'Use crates instead of bags', 'causal:instead of/result' FROM m WHERE k = 1
+        UNION ALL SELECT commit, 0, pre || 'broke, so that''s gone', 'causal:so that/result' FROM m WHERE k = 3 UNION ALL SELECT commit, n + 8, 'because it' || chr(10) || 'does not fit' || chr(10) || 'here. More', 'causal:because' FROM m WHERE k = 4
+        UNION ALL SELECT commit, n, 'because a', 'causal:because' FROM m WHERE k = 5 UNION ALL SELECT commit, n + 17, 'because b', 'causal:because' FROM m WHERE k = 5)
+        SELECT commit, st::INTEGER AS char_start, (st + length(qt))::INTEGER AS char_end, qt AS quoted_text, rule FROM s""",
     "span_verify": """WITH p AS (SELECT doc_id, text, length(text) AS n, doc_id % 8 AS k, least(doc_id % 7, length(text) - 1) AS st FROM documents WHERE text IS NOT NULL), q AS (SELECT *, least(st + 40, n) AS en, substr(text, st + 1, least(st + 40, n) - st) AS qu FROM p)
         SELECT doc_id, CASE k WHEN 1 THEN 'malformed_range' WHEN 2 THEN 'out_of_range' WHEN 3 THEN 'empty_quote' WHEN 4 THEN CASE WHEN instr(text, qu || '~') > 0 THEN 'offset_mismatch' ELSE 'text_not_found' END WHEN 5 THEN CASE WHEN length(qu) < 2 THEN 'empty_quote' ELSE 'offset_mismatch' END WHEN 6 THEN 'stale_document' WHEN 7 THEN 'malformed_range' ELSE 'verified' END AS verdict FROM q""",
     "license_spans": "WITH q AS (SELECT doc_id, text, regexp_extract(text, '(?i)[^.\\n]*license[^.\\n]*') AS qu FROM documents WHERE lower(text) LIKE '%license%') SELECT doc_id, instr(text, qu) - 1 AS char_start, length(qu) AS n, sha256(qu) AS quote FROM q",

@@ -1,7 +1,9 @@
 """From commits to the life of declarations: observe both sides of each change, match them, and follow identities along the matches.
 
-Merges bring no changes of their own here; a history is worked off along first parents. All joins are by commit or by a declaration's key
-(lineage, name, occurrence), so a repository's history is spread over its commits and not held in one place."""
+Merges bring no changes of their own here; a history is worked off along first parents: the lineage of a path, and the commit that last changed it, are those
+on the chain of a commit's first parents, and what a merge brought in was changed on its branch. All joins are by commit or by a declaration's key
+(repository, lineage, name, occurrence), so a repository's history is spread over its commits and not held in one place, and repositories that
+share commits or paths share nothing else. commit is the repository and the commit's id."""
 
 from __future__ import annotations
 
@@ -23,9 +25,9 @@ LAYERS = ("profile", "raw", "token", "alpha", "shape")
 
 @dataclass(frozen=True)
 class Index:
-    revisions: DataFrame  # commit, topo, id, node, stable_key, lineage, name, path, and the hash vector
+    revisions: DataFrame  # repo, commit, sha, topo, id, node, stable_key, lineage, name, path, and the hash vector
     matches: DataFrame  # commit, prev_id, next_id, tier, score, ambiguity_size
-    changes: DataFrame  # commit, topo, stable_key, name, path, change_level, sig_changed
+    changes: DataFrame  # repo, commit, topo, stable_key, name, path, change_level, sig_changed
     ambiguities: DataFrame
 
     def timeline(self, path: str, name: str) -> DataFrame:
@@ -40,19 +42,21 @@ class Index:
 
     def abandoned(self, commits: DataFrame) -> DataFrame:
         """Entities that were born and removed, graded; not those whose content lives on in another entity."""
-        deaths = self.changes.where("change_level = 'death'").select("stable_key", "topo")
-        spans = settled(lifecycle.spans(self.revisions, deaths, ["stable_key"]).withColumnRenamed("stable_key", "entity"))
-        ends = lifecycle.first_last(self.revisions, ["stable_key"], "topo", "raw").withColumnRenamed("stable_key", "entity").drop("revisions")
+        keys = ["repo", "stable_key"]
+        deaths = self.changes.where("change_level = 'death'").select(*keys, "topo")
+        spans = settled(lifecycle.spans(self.revisions, deaths, keys).withColumnRenamed("stable_key", "entity"))
+        ends = lifecycle.first_last(self.revisions, keys, "topo", "raw").withColumnRenamed("stable_key", "entity").drop("revisions")
         guarded = None
         for layer in ("raw", "alpha"):
-            carriers = self.revisions.select(F.col("stable_key").alias("entity"), F.col(layer).alias("hash")).distinct().join(spans.select("entity", "death"), "entity").withColumn("one", F.lit(1))
-            last = self.revisions.groupBy(F.col("stable_key").alias("entity")).agg(F.max_by(layer, "topo").alias("hash"))
-            asked = spans.where("death is not null").select("entity", "death").join(last, "entity").withColumn("one", F.lit(1))
-            own = lifecycle.move_guard(carriers, asked, ["one"]).select("entity", F.col("guarded").alias(f"by_{layer}"))
-            guarded = own if guarded is None else guarded.join(own, "entity")
-        at = commits.select("topo", F.to_timestamp("committed_at").alias("at"), "message")
-        lives = spans.join(ends, "entity").join(guarded, "entity").withColumn("guarded", F.col("by_raw") | F.col("by_alpha"))
-        lives = lives.join(at.select(F.col("topo").alias("birth"), F.col("at").alias("born_at")), "birth").join(at.select(F.col("topo").alias("death"), F.col("at").alias("died_at"), F.substring("message", F.lit(1), subject_end(F.col("message"))).alias("message")), "death")
+            carriers = self.revisions.select("repo", F.col("stable_key").alias("entity"), F.col(layer).alias("hash")).distinct().join(spans.select("repo", "entity", "death"), ["repo", "entity"])
+            last = self.revisions.groupBy("repo", F.col("stable_key").alias("entity")).agg(F.max_by(layer, "topo").alias("hash"))
+            asked = spans.where("death is not null").select("repo", "entity", "death").join(last, ["repo", "entity"])
+            own = lifecycle.move_guard(carriers, asked, ["repo"]).select("repo", "entity", F.col("guarded").alias(f"by_{layer}"))
+            guarded = own if guarded is None else guarded.join(own, ["repo", "entity"])
+        at = commits.select("repo", "topo", F.to_timestamp("committed_at").alias("at"), "message")
+        lives = spans.join(ends, ["repo", "entity"]).join(guarded, ["repo", "entity"]).withColumn("guarded", F.col("by_raw") | F.col("by_alpha"))
+        subject = F.substring("message", F.lit(1), subject_end(F.col("message"))).alias("message")
+        lives = lives.join(at.select("repo", F.col("topo").alias("birth"), F.col("at").alias("born_at")), ["repo", "birth"]).join(at.select("repo", F.col("topo").alias("death"), F.col("at").alias("died_at"), subject), ["repo", "death"])
         return lifecycle.excursions(lives)
 
 
@@ -73,42 +77,47 @@ def read_sources(specs: DataFrame, repo: str) -> DataFrame:
 def build(commits: DataFrame, sources: Callable[[DataFrame], DataFrame]) -> Index:
     """commits as read_history gives them; sources maps (sha, path) to (sha, path, source)."""
     supported = F.regexp_extract("path", r"(\.[^./]+)$", 1).isin(*code.EXTENSIONS)
-    changed = commits.where("not is_merge").select("repo", "sha", "topo", F.get("parents", F.lit(0)).alias("parent"), F.explode("changes").alias("c")).select("repo", "sha", "topo", "parent", "c.change_type", "c.path", F.coalesce("c.old_path", "c.path").alias("old_path"))
-    changed = settled(changed.where(supported))
-    events = settled(lineage.build(commits.select("repo", "sha", "topo", "parents", "changes")).where("kind = 'event' and lineage is not null").select("repo", "path", F.col("topo").alias("event_topo"), "lineage"))
-    after = changed.where("change_type <> 'D'").select("repo", F.col("sha").alias("commit"), "topo", F.col("sha").alias("sha"), "path")
-    before = changed.where("change_type not in ('A', 'C') and parent is not null").select("repo", F.col("sha").alias("commit"), "topo", F.col("parent").alias("sha"), F.col("old_path").alias("path"))
-    files = settled(sources(after.select("sha", "path").union(before.select("sha", "path")).distinct()).withColumn("blob", F.sha1("source")))
+    commit = F.concat_ws("@", "repo", "sha").alias("commit")
+    changed = commits.where("not is_merge").select("repo", "sha", commit, "topo", F.get("parents", F.lit(0)).alias("parent"), F.explode("changes").alias("c"))
+    changed = settled(changed.select("repo", "sha", "commit", "topo", "parent", "c.change_type", "c.path", F.coalesce("c.old_path", "c.path").alias("old_path"), "c.hunks").where(supported))
+    walked = settled(lineage.build(commits).where("kind in ('before', 'after')").select("repo", "sha", "kind", "path", "lineage", "detail").distinct())
+    after = changed.where("change_type <> 'D'").select("repo", "sha", "commit", "topo", F.col("sha").alias("at"), "path", "hunks")
+    before = changed.where("change_type not in ('A', 'C') and parent is not null").select("repo", "sha", "commit", "topo", F.col("parent").alias("at"), F.col("old_path").alias("path"), F.lit(None).cast(changed.schema["hunks"].dataType).alias("hunks"))
+    asked = after.select(F.col("at").alias("sha"), "path").union(before.select(F.col("at").alias("sha"), "path")).distinct()
+    files = settled(sources(asked).withColumn("blob", F.sha1("source")))
     seen = settled(code.observe(files.where("source is not null")))
 
-    def side(places: DataFrame, strict: bool) -> DataFrame:
-        named = asof.asof_join(places, events, ["repo", "path"], "topo", "event_topo", ["lineage"], strict=strict).withColumnRenamed("asof_lineage", "lineage")
-        rows = named.join(files.select("sha", "path", "blob"), ["sha", "path"]).join(seen, "blob")
-        key = F.concat_ws("\x1f", F.col("lineage").cast("string"), "name", F.col("occurrence").cast("string"))
+    def side(places: DataFrame, kind: str) -> DataFrame:
+        named = places.join(walked.where(F.col("kind") == kind).drop("kind"), ["repo", "sha", "path"])
+        rows = named.join(files.select(F.col("sha").alias("at"), "path", "blob"), ["at", "path"]).join(seen, "blob")
+        key = F.concat_ws("\x1f", "repo", F.coalesce(F.col("lineage").cast("string"), F.lit("")), "name", F.col("occurrence").cast("string"))
         return settled(rows.withColumn("id", key).withColumn("name", F.concat_ws("#", "name", F.nullif(F.col("occurrence").cast("string"), F.lit("0")))))
 
-    prev, next = side(before, True), side(after, False).withColumn("hunks", F.lit(None).cast("array<struct<old_start:bigint,old_count:bigint,new_start:bigint,new_count:bigint>>"))
-    matches, refused = matching.ladder(prev, next)
+    prev, next = side(before, "before"), side(after, "after")
+    matches, refused = matching.ladder(prev.drop("hunks"), next)
     matches = settled(matches)
 
     node = F.concat_ws("@", "commit", "id")
-    revisions = next.select("commit", "topo", "id", node.alias("node"), "lineage", "name", "path", "signature", *LAYERS)
-    matched = revisions.join(matches.select("commit", F.col("next_id").alias("id"), F.col("prev_id").alias("key")), ["commit", "id"], "left").select("node", "topo", "key")
-    last = revisions.select(F.col("id").alias("key"), F.col("topo").alias("seen_topo"), F.col("node").alias("seen"))
-    linked = asof.asof_join(matched, last, ["key"], "topo", "seen_topo", ["seen"])
-    roots = chain_roots(linked.select("node", F.col("asof_seen").alias("prev")))
-    born = revisions.select(F.col("node").alias("root"), hashing.stable_key(F.col("commit"), F.col("path"), F.col("name")).alias("stable_key"))
+    revisions = next.select("repo", "commit", "sha", "topo", "id", node.alias("node"), "lineage", "name", "path", "signature", *LAYERS)
+    # a record before a change was last seen where its file was last changed; or, if a merge itself changed it, where its key was seen last
+    was = prev.select("repo", "commit", F.col("id").alias("prev_id"), F.col("topo"), F.concat_ws("@", "repo", "detail", "id").alias("expected"))
+    known = was.join(revisions.select(F.col("node").alias("expected"), F.col("node").alias("found")), "expected", "left")
+    last = revisions.select(F.col("id").alias("prev_id"), F.col("topo").alias("seen_topo"), F.col("node").alias("seen"))
+    known = settled(asof.asof_join(known, last, ["prev_id"], "topo", "seen_topo", ["seen"]).select("commit", "prev_id", F.coalesce("found", "asof_seen").alias("before_node")))
+    linked = revisions.join(matches.select("commit", F.col("next_id").alias("id"), "prev_id"), ["commit", "id"], "left").join(known, ["commit", "prev_id"], "left")
+    roots = chain_roots(linked.select("node", F.col("before_node").alias("prev")))
+    born = revisions.select(F.col("node").alias("root"), hashing.stable_key(F.col("sha"), F.col("path"), F.col("name")).alias("stable_key"))
     revisions = settled(revisions.join(roots.select("node", "root"), "node").join(born, "root").drop("root"))
 
     both = revisions.join(matches.select("commit", F.col("next_id").alias("id"), "prev_id"), ["commit", "id"], "left")
     old = prev.select("commit", F.col("id").alias("prev_id"), F.col("signature").alias("old_signature"), *[F.col(k).alias(f"old_{k}") for k in LAYERS])
     compared = both.join(old, ["commit", "prev_id"], "left")
     level = F.when(F.col("prev_id").isNull(), "birth").otherwise(hashing.change_level({k: F.col(f"old_{k}") for k in LAYERS}, {k: F.col(k) for k in LAYERS}))
-    lived = compared.select("commit", "topo", "stable_key", "name", "path", level.alias("change_level"), (F.col("signature") != F.col("old_signature")).alias("sig_changed"))
-    gone = prev.join(matches.select("commit", F.col("prev_id").alias("id")), ["commit", "id"], "left_anti").select("commit", "topo", F.col("id").alias("key"), "name", "path")
-    whose = revisions.select(F.col("id").alias("key"), F.col("topo").alias("seen_topo"), "stable_key")
-    died = asof.asof_join(gone, whose, ["key"], "topo", "seen_topo", ["stable_key"]).select("commit", "topo", F.col("asof_stable_key").alias("stable_key"), "name", "path", F.lit("death").alias("change_level"), F.lit(None).cast("boolean").alias("sig_changed"))
-    return Index(revisions, matches, settled(lived.unionByName(died.where("stable_key is not null"))), refused)
+    lived = compared.select("repo", "commit", "topo", "stable_key", "name", "path", level.alias("change_level"), (F.col("signature") != F.col("old_signature")).alias("sig_changed"))
+    gone = prev.join(matches.select("commit", F.col("prev_id").alias("id")), ["commit", "id"], "left_anti").select("repo", "commit", "topo", F.col("id").alias("prev_id"), "name", "path")
+    whose = revisions.select(F.col("node").alias("before_node"), "stable_key")
+    died = gone.join(known, ["commit", "prev_id"]).join(whose, "before_node").select("repo", "commit", "topo", "stable_key", "name", "path", F.lit("death").alias("change_level"), F.lit(None).cast("boolean").alias("sig_changed"))
+    return Index(revisions, matches, settled(lived.unionByName(died)), refused)
 
 
 def index_repository(spark, repo: str, until: str = "HEAD") -> tuple[Index, DataFrame]:

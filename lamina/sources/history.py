@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-COMMITS = "repo string, sha string, topo bigint, parents array<string>, author string, authored_at string, committed_at string, message string, is_merge boolean, changes array<struct<change_type:string,path:string,old_path:string,score:int>>"
+COMMITS = "repo string, sha string, topo bigint, parents array<string>, author string, authored_at string, committed_at string, message string, is_merge boolean, changes array<struct<change_type:string,path:string,old_path:string,score:int,hunks:array<struct<old_start:bigint,old_count:bigint,new_start:bigint,new_count:bigint>>>>"
 PER_PARTITION = 500
 
 _HUNK = re.compile(rb"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
@@ -72,8 +72,43 @@ def blob_id(content: bytes) -> str:
     return hashlib.sha1(b"blob %d\0" % len(content) + content).hexdigest()
 
 
-def _git(repo: str, *args: str) -> bytes:
-    return subprocess.run(["git", "-C", repo, *args], check=True, capture_output=True).stdout
+def parse_commits(output: bytes) -> dict[str, list[dict]]:
+    """The changes of each commit with their hunks, from the raw and patch output of many commits. A change of content without a hunk (a binary file)
+    has null hunks: there is no evidence where its lines are; a change of name or mode only has none at all."""
+    found: dict[str, list[dict]] = {}
+    patches: dict[str, list[bytes]] = {}
+    sha, left = "", 0
+    for line in output.split(b"\n"):
+        if left and line[:1] in (b"+", b"-"):
+            left -= 1
+        elif line[:1] != b"\\":
+            left = 0
+            if re.fullmatch(rb"[0-9a-f]{40}|[0-9a-f]{64}", line):
+                sha = line.decode()
+                found[sha], patches[sha] = [], []
+                continue
+            if line[:1] == b":":
+                meta, _, names = line.decode("utf-8", "surrogateescape").partition("\t")
+                fields = meta.split(" ")
+                if change := parse_status(f"{fields[4]}\t{names}"):
+                    found[sha].append(change | {"same": fields[2] == fields[3]})
+                continue
+            if m := _HUNK.match(line):
+                left = sum(int(m[k]) if m[k] is not None else 1 for k in (2, 4))
+        if sha:
+            patches[sha].append(line)
+    for sha, own in found.items():
+        hunks: dict[str, list[dict]] = {}
+        for path, hunk in parse_hunks(iter(patches[sha])):
+            hunks.setdefault(path, []).append(hunk)
+        for change in own:
+            change["hunks"] = hunks.get(change["path"], [] if change.pop("same") else None)
+            change.pop("same", None)
+    return found
+
+
+def _git(repo: str, *args: str, feed: str | None = None) -> bytes:
+    return subprocess.run(["git", "-C", repo, *args], check=True, capture_output=True, input=None if feed is None else feed.encode()).stdout
 
 
 def read_blobs(repo: str, specs: list[str]) -> Iterator[tuple[str, bytes | None]]:
@@ -113,15 +148,18 @@ class HistoryReader(DataSourceReader):
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         first, shas = partition.value
-        for k, sha in enumerate(shas):
-            fields = _git(self.repo, "show", "-s", "--format=%P%x1f%an%x1f%aI%x1f%cI%x1f%B", sha).decode("utf-8", "replace").split("\x1f", 4)
-            parents = fields[0].split()
-            # a merge's changes are those against its first parent, which is the state that it goes on from
-            base = [parents[0], sha] if parents else ["--root", sha]
-            listed = _git(self.repo, "diff-tree", "-r", "--no-commit-id", "--name-status", f"-M{self.rename}%", f"-C{self.copy}%", *base)
-            changes = [c for line in listed.decode("utf-8", "surrogateescape").splitlines() if (c := parse_status(line))]
-            rows = [(c["change_type"], c["path"], c["old_path"], c["score"]) for c in changes]
-            yield (self.repo, sha, first + k, parents, fields[1], fields[2], fields[3], fields[4].rstrip("\n"), len(parents) > 1, rows)
+        number = {sha: first + k for k, sha in enumerate(shas)}
+        listed = _git(self.repo, "log", "--no-walk=unsorted", "--stdin", "-z", "--format=%H%x1f%P%x1f%an%x1f%aI%x1f%cI%x1f%B", feed="\n".join(shas)).decode("utf-8", "replace")
+        facts = {f[0]: f[1:] for x in listed.split("\0") if len(f := x.strip("\n").split("\x1f", 5)) == 6}
+        # a merge's changes are those against its first parent, which is the state that it goes on from
+        asked = "\n".join(" ".join([sha, *facts[sha][0].split()[:1]]) for sha in shas) + "\n"
+        patch = ("--raw", "--no-abbrev", "-p", "-U0", "--no-color", "--no-ext-diff", "--no-textconv", "--src-prefix=a/", "--dst-prefix=b/")
+        raw = _git(self.repo, "diff-tree", "--stdin", "-r", "--root", *patch, f"-M{self.rename}%", f"-C{self.copy}%", feed=asked)
+        changes = parse_commits(raw)
+        for sha in shas:
+            parents, author, authored, committed, message = facts[sha]
+            rows = [(c["change_type"], c["path"], c["old_path"], c["score"], c["hunks"]) for c in changes.get(sha, [])]
+            yield (self.repo, sha, number[sha], parents.split(), author, authored, committed, message.rstrip("\n"), len(parents.split()) > 1, rows)
 
 
 class HistorySource(DataSource):

@@ -1,6 +1,7 @@
 import subprocess
 
 from lamina.plans import index
+from lamina.sources import history
 
 BODY = "def {0}(x):\n    total = x + {1}\n    for k in range(total):\n        total += k * {1}\n        print(total, k, x, {1})\n    return total\n\n"
 
@@ -35,3 +36,78 @@ def test_life_of_declarations(spark, tmp_path):
     assert [(r["entity"], r["strength"], r["method"]) for r in out] == [(changes[0, "gone"][1], "A", "git_revert")]
     assert built.hotspots().first()["stable_key"] == changes[0, "two"][1]
     assert [r["topo"] for r in built.timeline("b.py", "uno").collect()] == [0, 1, 2, 3, 4]
+
+
+class Repo:
+    def __init__(self, at):
+        self.at = at
+        at.mkdir()
+        self.git("init", "-q", "-b", "main")
+
+    def git(self, *args):
+        return subprocess.run(["git", "-C", str(self.at), "-c", "user.name=a", "-c", "user.email=a@b", *args], check=True, capture_output=True).stdout.decode()
+
+    def commit(self, message, **files):
+        for name, text in files.items():
+            (self.at / f"{name}.py").write_text(text)
+        self.git("add", "-A")
+        self.git("commit", "-qm", message)
+        return self.git("rev-parse", "HEAD").strip()
+
+
+def test_repositories_share_no_identities(spark, tmp_path):
+    """Two repositories with the same first commit, of which one removes what the other keeps."""
+    first = Repo(tmp_path / "one")
+    first.commit("start", a=BODY.format("kept", 1) + BODY.format("gone", 2))
+    subprocess.run(["git", "clone", "-q", str(first.at), str(tmp_path / "two")], check=True)
+    first.commit("drop", a=BODY.format("kept", 1))
+    commits = history.read_history(spark, str(first.at)).union(history.read_history(spark, str(tmp_path / "two")))
+    built = index.build(commits, lambda specs: index.read_sources(specs, str(first.at)))
+    changes = [(r["repo"][-3:], r["topo"], r["name"], r["change_level"]) for r in built.changes.collect()]
+    assert sorted(changes) == sorted([("one", 0, "kept", "birth"), ("one", 0, "gone", "birth"), ("two", 0, "kept", "birth"), ("two", 0, "gone", "birth"), ("one", 1, "kept", "none"), ("one", 1, "gone", "death")])
+    assert built.abandoned(commits).count() == 1  # the same content in another repository is no guard
+
+
+def test_a_side_branch_has_its_own_past(spark, tmp_path):
+    """f is replaced on a branch while main goes on with it: each side's changes follow its own file, and the merge brings the branch's file in."""
+    repo = Repo(tmp_path / "r")
+    start = repo.commit("start", a=BODY.format("f", 1), c=BODY.format("c", 7))
+    repo.git("checkout", "-qb", "side")
+    repo.git("rm", "-q", "a.py")
+    repo.commit("remove")
+    back = repo.commit("again", a="import os\n\n" + BODY.format("other", 5).replace("print", "os.write"))
+    repo.git("checkout", "-q", "main")
+    on_main = repo.commit("main goes on", a=BODY.format("f", 2))
+    repo.git("checkout", "-q", "side")
+    later = repo.commit("side goes on", a="import os\n\n" + BODY.format("other", 6).replace("print", "os.write"), d=BODY.format("d", 9).replace("range", "list"))
+    repo.git("checkout", "-q", "main")
+    repo.git("merge", "-q", "-X", "ours", "-m", "merge", "side")
+    after = repo.commit("after the merge", d=BODY.format("d", 10).replace("range", "list"))
+    built, _ = index.index_repository(spark, str(repo.at))
+    got = {(r["sha"], r["name"]): r["stable_key"] for r in built.revisions.collect()}
+    assert got[on_main, "f"] == got[start, "f"] and got[later, "other"] == got[back, "other"] != got[start, "f"]
+    assert got[after, "d"] == got[later, "d"]
+    level = {(r["topo"], r["name"]): r["change_level"] for r in built.changes.collect()}
+    assert "birth" not in {v for k, v in level.items() if k[1] == "f" and k[0] > 0}
+
+
+def test_hunks_reach_the_ladder(spark, tmp_path):
+    """Two equal records under new names: only their places tell which is which; what a hunk adds whole is born and matches nothing in its file."""
+    repo = Repo(tmp_path / "r")
+    twin = "def twin(x):\n    return x\n\n\n"
+    repo.commit("start", a=twin + "VALUE = 1\n\n\n" + twin)
+    repo.commit("grow", a=BODY.format("fresh", 4) + twin + "VALUE = 2\n\n\n" + twin)
+    changes = {r["topo"]: r["changes"] for r in history.read_history(spark, str(repo.at)).collect()}
+    assert [tuple(h) for h in changes[1][0]["hunks"]] == [(0, 0, 1, 7), (5, 1, 12, 1)] and changes[0][0]["hunks"][0]["old_count"] == 0
+    built, _ = index.index_repository(spark, str(repo.at))
+    level = sorted((r["topo"], r["name"], r["change_level"]) for r in built.changes.where("topo = 1").collect())
+    assert (1, "fresh", "birth") in level and sum(x[2] == "birth" for x in level) == 1
+
+
+def test_raw_and_patch_output_of_many_commits():
+    sha = "0123456789abcdef0123456789abcdef01234567"
+    one, two = "1" * 40, "2" * 40
+    output = f"{sha}\n:100644 100644 {one} {two} M\ta.py\n:100644 100644 {one} {one} R100\told.py\tnew.py\n:100644 100644 {one} {two} M\tb.bin\n\ndiff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1 +1,2 @@\n-x\n+--- a/none.py\n+{sha}\n@@ -9,0 +11 @@\n+y\nBinary files a/b.bin and b/b.bin differ\n"
+    found = history.parse_commits(output.encode())
+    assert list(found) == [sha]
+    assert [(c["change_type"], c["path"], c["old_path"], None if c["hunks"] is None else len(c["hunks"])) for c in found[sha]] == [("M", "a.py", None, 2), ("R", "new.py", "old.py", 0), ("M", "b.bin", None, None)]

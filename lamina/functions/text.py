@@ -116,3 +116,7 @@ def annual_rate(structural: Column, days: Column) -> Column:
 
 def ambiguity_meaning(tier: Column) -> Column:
     return F.when(tier == "L3c", "content-class-size").when(tier.isin("L4", "L5"), "tied-candidates").otherwise("unique-by-construction")
+
+
+def json_valid(value: Column) -> Column:
+    return F.try_parse_json(value).isNotNull()

@@ -18,8 +18,13 @@ def reach(changes: DataFrame) -> DataFrame:
 def candidates(evidence: DataFrame, changes: DataFrame, deaths: DataFrame) -> DataFrame:
     """Quotes (evidence_key, commit, message, char_start, quoted_text, rule, confidence) against what their commit changes. subject is
     change for each relevant change, and excursion for each removal in the commit, with the number of its removals. Whether a message gathers several
-changes is settled once for each quote, and the message stays behind."""
+    changes is settled once for each quote, and the message stays behind."""
     ready = evidence.withColumn("aggregate", ~X.attributable(F.col("message"), F.col("char_start"))).select("evidence_key", "commit", "aggregate", "char_start", "quoted_text", "rule", "confidence")
+    return fan_out(ready, changes, deaths)
+
+
+def fan_out(ready: DataFrame, changes: DataFrame, deaths: DataFrame) -> DataFrame:
+    """Quotes that are ready to be put down to what their commit changes and removes."""
     columns = ready.columns
     real = changes.where(F.col("change_level") != "none").select("commit", "entity")
     stated = ready.join(real, "commit").select(*columns, F.lit("change").alias("subject"), "entity", F.lit(None).cast("bigint").alias("commit_deaths"))

@@ -47,6 +47,29 @@ def ancestors(edges: DataFrame, include_self: bool = True) -> DataFrame:
         count = more
 
 
+def ancestors_of(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """starts (node) and edges (child, parent) -> node, ancestor: all that each start goes back to, by a frontier that moves on to what is new. Only what the
+    starts reach is visited; a chain takes as many rounds as it is long."""
+    steps = edges.where("child is not null and parent is not null").select("child", "parent")
+    frontier = settled(starts.select("node", F.col("node").alias("ancestor")).distinct())
+    reached = [frontier]
+    while True:
+        seen = reached[0]
+        for r in reached[1:]:
+            seen = seen.unionByName(r)
+        met = frontier.join(steps, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor")).distinct()
+        frontier = settled(met.join(seen, ["node", "ancestor"], "left_anti"))
+        if not frontier.take(1):
+            return seen.where("node <> ancestor")
+        reached.append(frontier)
+
+
+def is_ancestor(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (ancestor, node) with is_ancestor; a commit is its own ancestor."""
+    known = ancestors_of(edges, pairs.select("node")).withColumn("_found", F.lit(True))
+    return pairs.join(known, ["node", "ancestor"], "left").withColumn("is_ancestor", F.coalesce("_found", F.lit(False)) | (F.col("node") == F.col("ancestor"))).drop("_found")
+
+
 def resurrections(events: DataFrame, keys: list[str], order: list[str], kind: str) -> DataFrame:
     """Rows of kind A that come directly after a D of the same key."""
     from pyspark.sql import Window as W

@@ -67,6 +67,7 @@ class _Walk:
         self.parent: dict[str, str | None] = {}
         self.lineages = _Overlays(self.parent)
         self.touched = _Overlays(self.parent)  # the commit that last changed a path
+        self.buried = _Overlays(self.parent)  # the lineage that was last removed from a path
         self.minted = 0
 
     def mint(self) -> int:
@@ -138,9 +139,13 @@ class _Walk:
             moved[path] = None if kind == "D" else from_branch
             if kind != "D":
                 out.append(("after", path, own[path] if path in own else before.get(path), sha))
+        gone = self.buried.state(first)
+        out += [("recreated", path, gone[path], None) for path, lineage in own.items() if lineage is not None and before.get(path) is None and path in gone and gone[path] != lineage]
+        removed = {path: before[path] for path, lineage in own.items() if lineage is None and before.get(path) is not None}
         out += [("event", path, lineage, None) for path, lineage in own.items()]
         self.lineages.put(sha, own)
         self.touched.put(sha, moved)
+        self.buried.put(sha, removed)
         return out
 
 
@@ -158,7 +163,8 @@ def _repository(rows: pd.DataFrame) -> pd.DataFrame:
 def build(commits: DataFrame) -> DataFrame:
     """commits: repo, sha, topo, parents array<string>, changes array<struct<change_type, path, old_path>> (for a merge, against its
     first parent). Rows of kind event (path, lineage; null for a tombstone), of kind anomaly (path, detail), and for each change of kind before
-(path and lineage at the first parent, and in detail the commit on its chain that last changed it) and after."""
+(path and lineage at the first parent, and in detail the commit on its chain that last changed it) and after. Kind recreated: a path that is taken
+again, with the lineage that was removed from it last on the chain."""
     bare = F.transform("changes", lambda c: F.struct(c["change_type"].alias("change_type"), c["path"].alias("path"), c["old_path"].alias("old_path")))
     return commits.select("repo", "sha", "topo", "parents", bare.alias("changes")).groupBy("repo").applyInPandas(_repository, OUTPUT)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import hashing
 from lamina.functions.text import subject_end
-from lamina.operators import asof, lifecycle, lineage, matching
+from lamina.operators import asof, evolution, lifecycle, lineage, matching
 from lamina.operators.graph import chain_roots, settled
 from lamina.sources import code, history
 
@@ -29,6 +29,25 @@ class Index:
     matches: DataFrame  # commit, prev_id, next_id, tier, score, ambiguity_size
     changes: DataFrame  # repo, commit, topo, stable_key, name, path, change_level, sig_changed
     ambiguities: DataFrame
+    discontinuities: DataFrame  # repo, commit, topo, stable_key, name, path, previous_entity: a path that is taken again
+
+    def entities_for(self, path: str, name: str) -> DataFrame:
+        """Entities that ever were name at path, those with most revisions first."""
+        own = self.revisions.groupBy("repo", "stable_key").agg(F.count("*").alias("revisions"), F.max(((F.col("path") == path) & (F.col("name") == name)).cast("int")).alias("_was"))
+        return own.where("_was = 1").select("repo", "stable_key", "revisions").orderBy(F.desc("revisions"), "repo", "stable_key")
+
+    def evolution_of(self, stable_key: str) -> DataFrame:
+        """Changes of an entity with the tier and ambiguity of their matches, where it moved from, and how many others its commit really changes."""
+        real = self.changes.where("change_level <> 'none'").groupBy("commit").agg(F.count_distinct("stable_key").alias("reach"))
+        return self.changes.where(F.col("stable_key") == stable_key).join(real, "commit", "left").withColumn("reach", F.coalesce("reach", F.lit(0))).orderBy("repo", "topo")
+
+    def moves(self) -> DataFrame:
+        return self.changes.where("moved_from is not null")
+
+    def survivors(self, name: str) -> DataFrame:
+        """Entities called name that live on, for a verdict on one that is gone: repo, stable_key."""
+        last = self.changes.groupBy("repo", "stable_key").agg(F.max_by("change_level", F.struct("topo", F.col("change_level") == "death")).alias("last"), F.max_by("name", "topo").alias("name"))
+        return last.where((F.col("last") != "death") & (F.col("name") == name)).select("repo", "stable_key")
 
     def timeline(self, path: str, name: str) -> DataFrame:
         """Changes of every entity that ever was name at path, in order."""
@@ -80,7 +99,7 @@ def build(commits: DataFrame, sources: Callable[[DataFrame], DataFrame]) -> Inde
     commit = F.concat_ws("@", "repo", "sha").alias("commit")
     changed = commits.where("not is_merge").select("repo", "sha", commit, "topo", F.get("parents", F.lit(0)).alias("parent"), F.explode("changes").alias("c"))
     changed = settled(changed.select("repo", "sha", "commit", "topo", "parent", "c.change_type", "c.path", F.coalesce("c.old_path", "c.path").alias("old_path"), "c.hunks").where(supported))
-    walked = settled(lineage.build(commits).where("kind in ('before', 'after')").select("repo", "sha", "kind", "path", "lineage", "detail").distinct())
+    walked = settled(lineage.build(commits).where("kind in ('before', 'after', 'recreated')").select("repo", "sha", "kind", "path", "lineage", "detail").distinct())
     after = changed.where("change_type <> 'D'").select("repo", "sha", "commit", "topo", F.col("sha").alias("at"), "path", "hunks")
     before = changed.where("change_type not in ('A', 'C') and parent is not null").select("repo", "sha", "commit", "topo", F.col("parent").alias("at"), F.col("old_path").alias("path"), F.lit(None).cast(changed.schema["hunks"].dataType).alias("hunks"))
     asked = after.select(F.col("at").alias("sha"), "path").union(before.select(F.col("at").alias("sha"), "path")).distinct()
@@ -109,15 +128,23 @@ def build(commits: DataFrame, sources: Callable[[DataFrame], DataFrame]) -> Inde
     born = revisions.select(F.col("node").alias("root"), hashing.stable_key(F.col("sha"), F.col("path"), F.col("name")).alias("stable_key"))
     revisions = settled(revisions.join(roots.select("node", "root"), "node").join(born, "root").drop("root"))
 
-    both = revisions.join(matches.select("commit", F.col("next_id").alias("id"), "prev_id"), ["commit", "id"], "left")
-    old = prev.select("commit", F.col("id").alias("prev_id"), F.col("signature").alias("old_signature"), *[F.col(k).alias(f"old_{k}") for k in LAYERS])
+    both = revisions.join(matches.select("commit", F.col("next_id").alias("id"), "prev_id", "tier", "ambiguity_size"), ["commit", "id"], "left")
+    old = prev.select("commit", F.col("id").alias("prev_id"), F.col("path").alias("old_path"), F.col("signature").alias("old_signature"), *[F.col(k).alias(f"old_{k}") for k in LAYERS])
     compared = both.join(old, ["commit", "prev_id"], "left")
     level = F.when(F.col("prev_id").isNull(), "birth").otherwise(hashing.change_level({k: F.col(f"old_{k}") for k in LAYERS}, {k: F.col(k) for k in LAYERS}))
-    lived = compared.select("repo", "commit", "topo", "stable_key", "name", "path", level.alias("change_level"), (F.col("signature") != F.col("old_signature")).alias("sig_changed"))
+    lived = compared.select("repo", "commit", "topo", "stable_key", "name", "path", level.alias("change_level"), (F.col("signature") != F.col("old_signature")).alias("sig_changed"), "tier", "ambiguity_size", F.when(F.col("old_path") != F.col("path"), F.col("old_path")).alias("moved_from"))
     gone = prev.join(matches.select("commit", F.col("prev_id").alias("id")), ["commit", "id"], "left_anti").select("repo", "commit", "topo", F.col("id").alias("prev_id"), "name", "path")
     whose = revisions.select(F.col("node").alias("before_node"), "stable_key")
-    died = gone.join(known, ["commit", "prev_id"]).join(whose, "before_node").select("repo", "commit", "topo", "stable_key", "name", "path", F.lit("death").alias("change_level"), F.lit(None).cast("boolean").alias("sig_changed"))
-    return Index(revisions, matches, settled(lived.unionByName(died)), refused)
+    died = gone.join(known, ["commit", "prev_id"]).join(whose, "before_node").select("repo", "commit", "topo", "stable_key", "name", "path", F.lit("death").alias("change_level"), F.lit(None).cast("boolean").alias("sig_changed"), F.lit(None).cast("string").alias("tier"), F.lit(None).cast("bigint").alias("ambiguity_size"), F.lit(None).cast("string").alias("moved_from"))
+    changes = settled(lived.unionByName(died))
+    # a path that is taken again: who was there when its last lineage was removed
+    taken = walked.where("kind = 'recreated'").select("repo", "sha", "path", F.concat_ws("/", "repo", F.col("lineage").cast("string")).alias("previous_key"))
+    fresh = revisions.join(taken, ["repo", "sha", "path"]).select("repo", "commit", "topo", "stable_key", "name", "path", "previous_key")
+    key = F.concat_ws("/", "repo", F.col("lineage").cast("string")).alias("key")
+    ended = revisions.groupBy(key).agg(F.max("topo").alias("topo"))
+    occupants = revisions.select(key, "topo", "name", F.col("stable_key").alias("entity")).join(ended, ["key", "topo"])
+    discontinuities = evolution.resurrected(fresh, occupants).drop("previous_key")
+    return Index(revisions, matches, changes, refused, settled(discontinuities))
 
 
 def index_repository(spark, repo: str, until: str = "HEAD") -> tuple[Index, DataFrame]:

@@ -111,3 +111,21 @@ def test_raw_and_patch_output_of_many_commits():
     found = history.parse_commits(output.encode())
     assert list(found) == [sha]
     assert [(c["change_type"], c["path"], c["old_path"], None if c["hunks"] is None else len(c["hunks"])) for c in found[sha]] == [("M", "a.py", None, 2), ("R", "new.py", "old.py", 0), ("M", "b.bin", None, None)]
+
+
+def test_a_path_taken_again(spark, tmp_path):
+    repo = Repo(tmp_path / "r")
+    repo.commit("start", a=BODY.format("f", 1) + BODY.format("g", 2), b=BODY.format("h", 3))
+    repo.git("rm", "-q", "a.py")
+    repo.commit("remove")
+    repo.commit("again", a=BODY.format("f", 5).replace("print", "list"))
+    repo.git("mv", "b.py", "c.py")
+    repo.commit("move")
+    built, commits = index.index_repository(spark, str(repo.at))
+    found = built.discontinuities.collect()
+    born = {(r["topo"], r["name"]): r["stable_key"] for r in built.changes.where("change_level = 'birth'").collect()}
+    assert [(r["topo"], r["name"], r["stable_key"], r["previous_entity"]) for r in found] == [(2, "f", born[2, "f"], born[0, "f"])]
+    assert [(r["stable_key"], r["revisions"]) for r in built.entities_for("a.py", "f").collect()] == sorted([(born[0, "f"], 1), (born[2, "f"], 1)])
+    assert [r["topo"] for r in built.evolution_of(born[0, "f"]).collect()] == [0, 1] and built.survivors("f").first()["stable_key"] == born[2, "f"]
+    moves = built.moves().collect()
+    assert [(r["name"], r["moved_from"], r["path"], r["tier"]) for r in moves] == [("h", "b.py", "c.py", "L1")]

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina import schemas
-from lamina.operators import asof, claims, graph, lifecycle, lineage, matching
+from lamina.functions import sketch
+from lamina.operators import asof, claims, evolution, graph, lifecycle, lineage, matching
 from lamina.sources import history
 from lamina.streaming import incremental
 from lamina.versions import VersionMismatch
@@ -221,3 +222,26 @@ def test_plans_have_no_cartesian_product(spark):
     plan = matching.similar_pairs(df, df, 0.5, same_side=True)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert F is not None
+
+
+def test_ancestors_of_some_commits(spark):
+    edges = spark.createDataFrame([(2, 1), (3, 2), (3, 1), (5, 4), (6, 5), (6, 3), (7, None)], "child long, parent long")
+    got = {(r["node"], r["ancestor"]) for r in graph.ancestors_of(edges, spark.createDataFrame([(6,), (3,), (1,)], "node long")).collect()}
+    assert got == {(6, k) for k in (1, 2, 3, 4, 5)} | {(3, 1), (3, 2)}
+    pairs = spark.createDataFrame([(1, 6), (6, 1), (4, 3), (7, 7)], "ancestor long, node long")
+    assert {(r["ancestor"], r["node"]): r["is_ancestor"] for r in graph.is_ancestor(edges, pairs).collect()} == {(1, 6): True, (6, 1): False, (4, 3): False, (7, 7): True}
+
+
+def test_kinds_are_corrected_and_sets_kept_or_sketched(spark):
+    refs = spark.createDataFrame([("issue", "1", 0.4), ("issue", "2", 0.9)], "kind string, to_key string, confidence double")
+    fetched = spark.createDataFrame([("2", "pr")], "to_key string, kind string")
+    assert {(r["to_key"], r["kind"]) for r in evolution.corrected_kinds(refs, fetched).collect()} == {("1", "issue"), ("2", "pr")}
+    grams = F.transform(F.sequence(F.lit(1), F.col("id")), lambda x: x.cast("bigint"))
+    got = {r["id"]: r["s"] for r in spark.createDataFrame([(3,), (201,)], "id int").select("id", sketch.signature_from_set(grams.cast("array<string>"), grams).alias("s")).collect()}
+    assert got[3]["kind"] == "exact" and got[3]["values"] == [1, 2, 3] and got[201]["kind"] == "sketch" and len(got[201]["values"]) == sketch.PERMUTATIONS
+
+
+def test_hot_keys_are_numbered_over_many_parts(spark):
+    rows = spark.createDataFrame([("hot", None, k) for k in range(500)] + [("a", "x", 7), (None, None, 1), (None, None, 2)], "source string, lang string, doc_id long")
+    got = {(r["source"], r["doc_id"]): r["occurrence"] for r in asof.occurrences(rows, ["source", "lang"], ["doc_id"]).collect()}
+    assert got == {("hot", k): k for k in range(500)} | {("a", 7): 0, (None, 1): 0, (None, 2): 1}

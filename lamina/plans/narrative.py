@@ -35,7 +35,7 @@ def reference_extract(spark: SparkSession, d: str) -> DataFrame:
 def aggregate_message_gate(spark: SparkSession, d: str) -> DataFrame:
     m = _messages(spark, d)
     signal = text.aggregate_signal(F.col("message"))
-    rows = m.select("commit", signal["items"].cast("bigint").alias("items"), signal["refs"].cast("bigint").alias("refs"), text.attributable(F.col("message"), F.lit(None).cast("int")).alias("linked"), text.attributable(F.col("message"), F.lit(3)).alias("stated"))
+    rows = m.select("commit", signal["items"].cast("bigint").alias("items"), signal["refs"].cast("bigint").alias("refs"), text.attributable(F.col("message"), F.lit(None).cast("int")).alias("linked"), text.attributable(F.col("message"), (F.col("commit") % 60).cast("int")).alias("stated"))
     return rows.select("commit", "items", "refs", F.col("linked").cast("bigint").alias("linked"), F.col("stated").cast("bigint").alias("stated"))
 
 
@@ -128,9 +128,13 @@ def rationale_groups(spark: SparkSession, d: str) -> DataFrame:
     return claims.rationale_groups(derived, F.col("claim_type")).select("text", "commit", "kind", "entities", "quote_id", "scope")
 
 
+# quotes that are too short, a question, an announcement, next to nothing, a bare reference, and sound
+_AUDITED = ("because stock ran out.", "because we should ask why it is so slow here?", "because of the following long list of things:", "because xx", "because this.", "because the supplier was late again this whole week")
+
+
 def quote_audit(spark: SparkSession, d: str) -> DataFrame:
     """How many quotes break each audit rule."""
-    e = _evidence(spark, d)[0]
+    e = tables.read(spark, d, "orders").select(F.array(*map(F.lit, _AUDITED))[(F.col("o_orderkey") % len(_AUDITED)).cast("int")].alias("quoted_text"))
     return e.select(F.explode(text.quote_rules(F.col("quoted_text"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("quotes"))
 
 
@@ -159,7 +163,7 @@ ga AS (SELECT *, CASE WHEN subject = 'excursion' AND deaths <> 1 THEN 'several_r
 
 ORACLE_SQL = {
     "reference_extract": f"WITH {_MESSAGES_SQL}, {_REFS_SQL} SELECT commit, to_key, confidence FROM rr",
-    "aggregate_message_gate": f"WITH {_MESSAGES_SQL} SELECT commit, n::BIGINT AS items, n::BIGINT AS refs, CASE WHEN n >= 2 THEN 0 ELSE 1 END::BIGINT AS linked, 1::BIGINT AS stated FROM m",
+    "aggregate_message_gate": f"WITH {_MESSAGES_SQL} SELECT commit, n::BIGINT AS items, n::BIGINT AS refs, CASE WHEN n >= 2 THEN 0 ELSE 1 END::BIGINT AS linked, CASE WHEN n < 2 OR commit % 60 < length(split_part(message, chr(10), 1)) THEN 1 ELSE 0 END::BIGINT AS stated FROM m",
     "rationale_extract": """WITH m AS (SELECT o_orderkey AS commit, o_orderkey % 7 AS k, length('o' || o_orderkey || ' ') AS n, 'o' || o_orderkey || ' ' AS pre FROM orders),
         s AS (SELECT commit, n + 8 AS st, 'because stock ran out.' AS qt, 'causal:because' AS rule FROM m WHERE k = 0 UNION ALL SELECT commit, n + 12, 'Use crates instead of bags', 'causal:instead of/result' FROM m WHERE k = 1
         UNION ALL SELECT commit, 0, pre || 'broke, so that''s gone', 'causal:so that/result' FROM m WHERE k = 3 UNION ALL SELECT commit, n + 8, 'because it' || chr(10) || 'does not fit' || chr(10) || 'here. More', 'causal:because' FROM m WHERE k = 4
@@ -175,6 +179,6 @@ ORACLE_SQL = {
     "stale_anti": "SELECT o_orderkey AS key FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "linked_reference_rank": f"WITH {_MESSAGES_SQL}, {_REFS_SQL}, k AS (SELECT to_key, commit AS from_key, confidence, row_number() OVER (PARTITION BY to_key ORDER BY confidence DESC, commit) AS rn FROM rr) SELECT to_key, from_key, confidence FROM k WHERE rn = 1",
     "rationale_groups": _CLAIMS_SQL + ", g AS (SELECT quoted_text AS text, commit, claim_type AS kind, count(DISTINCT entity) AS entities FROM ga WHERE gate IS NULL GROUP BY 1, 2, 3) SELECT text, commit, kind, entities, substr(sha256(text || chr(0) || commit || chr(0) || kind), 1, 16) AS quote_id, CASE WHEN entities <= 1 THEN 'entity' ELSE 'batch' END AS scope FROM g",
-    "quote_audit": _CLAIMS_SQL + " SELECT 'R1' AS rule, count(*) AS quotes FROM q WHERE length(quoted_text) < 30",
+    "quote_audit": "SELECT rule, count(*) AS quotes FROM orders JOIN (VALUES (0, 'R1'), (1, 'R2'), (2, 'R3'), (3, 'R1'), (3, 'R4'), (4, 'R1'), (4, 'R5')) v(k, rule) ON o_orderkey % 6 = k GROUP BY rule",
     "timeline": _CLAIMS_SQL + ", r AS (SELECT commit, count(*) AS reach FROM ch GROUP BY 1), k AS (SELECT commit, entity, min(quoted_text) AS quotes FROM ga WHERE gate IS NULL AND subject = 'change' GROUP BY 1, 2) SELECT ch.entity, ch.commit, 'shape' AS change_level, reach, CASE WHEN reach <= 1 THEN 'entity' ELSE 'batch' END AS scope, coalesce(quotes, '') AS quotes FROM ch JOIN r USING (commit) LEFT JOIN k ON k.commit = ch.commit AND k.entity = ch.entity",
 }

@@ -84,17 +84,58 @@ def test_retries():
 
 
 def test_golden_cases(spark, tmp_path):
-    (tmp_path / "f.yaml").write_text("fixture: x\ncases:\n- {id: a, kind: change_level, difficulty: hard, expect: raw, entity: {path: p, symbol: s}, at_commit: c1}\n- {id: b, kind: change_level, difficulty: easy, expect: raw, entity: {path: p, symbol: s}, at_commit: c2}\n- {id: c, kind: excursion, difficulty: hard, expect: none, entity: {path: q, symbol: s}}\n")
+    (tmp_path / "f.yaml").write_text("repo: {name: x}\ncases:\n- {id: a, kind: change_level, difficulty: hard, expect: raw, entity: {path: p, symbol: s}, at_commit: c1}\n- {id: b, kind: change_level, difficulty: easy, expect: raw, entity: {path: p, symbol: s}, at_commit: c2}\n- {id: c, kind: excursion, difficulty: hard, expect: absent, entity: {path: q, symbol: s}, introduce_at: c1, remove_at: c2}\n- {id: d, kind: construct, difficulty: easy}\n")
     cases = golden.read_cases(spark, str(tmp_path / "f.yaml"))
     changes = spark.createDataFrame([("c1", "p", "s", "shape")], "sha string, path string, symbol string, change_level string")
     levels = golden.evaluate_levels(cases, changes)
     assert {(r["id"], r["status"]) for r in levels.collect()} == {("a", "fail"), ("b", "missing")}
-    none = spark.createDataFrame([], "path string, symbol string, strength string")
-    assert [r["status"] for r in golden.evaluate_excursions(cases, none).collect()] == ["pass"]
+    none = spark.createDataFrame([], "introduce_at string, remove_at string, path string, symbol string, strength string")
+    assert [(r["status"], r["polarity"]) for r in golden.evaluate_excursions(cases, none).collect()] == [("pass", "negative")]
     total = golden.report(levels).where("difficulty is null").first()
     assert (total["cases"], total["fail"], total["missing"], total["interpretable"]) == (2, 1, 1, False)
     before = spark.createDataFrame([("a", "hard", "pass"), ("b", "easy", "pass")], "id string, difficulty string, status string")
     assert [r["id"] for r in golden.regressions(before, levels).collect()] == ["a"]
+    places = spark.createDataFrame([], "sha string, path string, symbol string")
+    revisions = spark.createDataFrame([], "sha string, path string, symbol string, occurrence int, node string")
+    matches = spark.createDataFrame([], "prev_node string, next_node string, tier string, ambiguity_size long")
+    documents, quotes = spark.createDataFrame([], "doc_type string, external_id string"), spark.createDataFrame([], "doc_type string, external_id string, tier string, quoted_text string")
+    everything = golden.evaluate(cases, changes, places, none, revisions, matches, documents, quotes)
+    assert {(r["id"], r["status"]) for r in everything.collect()} == {("a", "fail"), ("b", "missing"), ("c", "pass"), ("d", "missing")}
+
+
+@pytest.mark.parametrize("case", ["{id: a, kind: change_level, difficulty: easy, expect: raw, entity: {path: p}, at_commit: c}", "{id: a, kind: excursion, difficulty: easy, entity: {path: p, symbol: s}, introduce_at: c}", "{id: a, kind: lineage, difficulty: easy, chain: [{anchor: {commit: c, path: p, symbol: s}}]}", "{id: a, kind: lineage, difficulty: easy, chain: [{anchor: {commit: c, path: p}}]}", "{id: a, kind: evidence, difficulty: easy, expect_spans: []}"])
+def test_a_broken_case_is_not_a_missing_one(spark, tmp_path, case):
+    (tmp_path / "f.yaml").write_text(f"repo: {{name: x}}\ncases:\n- {case}\n")
+    with pytest.raises(golden.BrokenCase):
+        golden.read_cases(spark, str(tmp_path / "f.yaml"))
+
+
+def test_golden_chains_and_quotes(spark, tmp_path):
+    def anchor(sha, occurrence=0):
+        return f"{{anchor: {{commit: {sha}, path: p, symbol: s, occurrence: {occurrence}}}, transition: {{expect_tier_at_most: L3b}}}}"
+
+    def case(id, chain, more=""):
+        return f"- {{id: {id}, kind: lineage, difficulty: hard, chain: [{', '.join(chain)}]{more}}}\n"
+
+    text = "repo: {name: x}\ncases:\n" + case("sure", [anchor("a"), anchor("b"), anchor("c")]) + case("weak", [anchor("a"), anchor("c")]) + case("apart", [anchor("a"), anchor("b", 1)], ", expect: absent") + case("unseen", [anchor("a"), anchor("z")])
+    for name, options in (("chosen", (0, 1)), ("unique", (2, 3)), ("none", (4, 5))):
+        both = ", ".join(f"{{chain: [{anchor('a', k)}, {anchor('d', k)}]}}" for k in options)
+        text += f"- {{id: {name}, kind: lineage, difficulty: hard, label_confidence: ambiguous, accept_any_of: [{both}]}}\n"
+    for name, sha, spans in (("said", "m", "[{contains: slow, tier: stated}]"), ("unsaid", "m", "[{contains: slow, tier: stated}, {contains: fast, tier: stated}]"), ("linked", "m", "[{contains: slow, tier: linked}]"), ("quiet", "q", "[]"), ("loud", "m", "[]"), ("unread", "u", "[]")):
+        text += f"- {{id: {name}, kind: evidence, difficulty: hard, at_commit: {sha}, expect_spans: {spans}}}\n"
+    (tmp_path / "f.yaml").write_text(text)
+    cases = golden.read_cases(spark, str(tmp_path / "f.yaml"))
+    places = [("a", 0), ("b", 0), ("b", 1), ("c", 0), ("d", 0), *[(s, k) for s in "ad" for k in (1, 2, 3, 4, 5)]]
+    revisions = spark.createDataFrame([(s, "p", "s", k, f"{s}{k}") for s, k in set(places)], "sha string, path string, symbol string, occurrence int, node string")
+    found = [("a0", "b0", "L1", 1), ("b0", "c0", "L3b", 1), ("a0", "c0", "L4", 1), ("a0", "d0", "L2", 2), ("a2", "d2", "L2", 1)]
+    matches = spark.createDataFrame(found, "prev_node string, next_node string, tier string, ambiguity_size long")
+    got = {r["id"]: r["status"] for r in golden.evaluate_lineages(cases, revisions, matches).collect()}
+    assert got == {"sure": "pass", "weak": "fail", "apart": "pass", "unseen": "missing", "chosen": "pass", "unique": "fail", "none": "missing"}
+    assert golden.certain(golden.evaluate_lineages(cases, revisions, matches)).count() == 4
+    documents = spark.createDataFrame([("commit_message", "m"), ("commit_message", "q")], "doc_type string, external_id string")
+    quotes = spark.createDataFrame([("commit_message", "m", "stated", "because it is slow")], "doc_type string, external_id string, tier string, quoted_text string")
+    got = {r["id"]: r["status"] for r in golden.evaluate_evidence(cases, documents, quotes).collect()}
+    assert got == {"said": "pass", "unsaid": "fail", "linked": "fail", "quiet": "pass", "loud": "fail", "unread": "missing"}
 
 
 def test_sinks(spark, tmp_path):

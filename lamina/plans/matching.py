@@ -101,6 +101,13 @@ def ladder_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.withColumn("meaning", text.ambiguity_meaning(F.col("tier"))).withColumn("verified", F.when(F.col("tier").isin("L4", "L5"), F.col("verified")))
 
 
+def ladder_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Matches below L1, and how many refused buckets each came out of."""
+    prev, next = map(graph.settled, _ladder_sides(spark, d))
+    audited = matching.audit(prev, next, *map(graph.settled, matching.ladder(prev, next)))
+    return audited.select("commit", "prev_id", "next_id", "tier", F.size("origins").cast("bigint").alias("origins"))
+
+
 def _lives(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Entities of the event stream: a death event removes one, any other event is a revision. Carried content is the event's kind and whole value."""
     c = tables.event_changes(spark, d).withColumn("raw", F.concat_ws(":", "name", F.floor("value").cast("string")))
@@ -187,7 +194,7 @@ def content_distances(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "bucket_unique_match": bucket_unique_match, "bucket_ambiguities": bucket_ambiguities, "match_l3_normalised": match_l3_normalised, "ngram_jaccard_pairs": ngram_jaccard_pairs, "greedy_similarity_match": greedy_similarity_match, "benchmark_contamination": benchmark_contamination, "full_ladder_conversations": full_ladder, "ladder_stats": ladder_stats,
+    "bucket_unique_match": bucket_unique_match, "bucket_ambiguities": bucket_ambiguities, "match_l3_normalised": match_l3_normalised, "ngram_jaccard_pairs": ngram_jaccard_pairs, "greedy_similarity_match": greedy_similarity_match, "benchmark_contamination": benchmark_contamination, "full_ladder_conversations": full_ladder, "ladder_stats": ladder_stats, "ladder_audit": ladder_audit,
     "birth_death_spans": birth_death_spans, "move_guard": move_guard, "excursion_graded": excursion_graded, "abandoned_strength_histogram": abandoned_strength_histogram, "abandoned_list": abandoned_list, "surviving_namesakes": surviving_namesakes, "discontinuity_occupant": discontinuity_occupant, "resurrections": resurrections, "format_only_changes": format_only_changes, "content_distances": content_distances,
 }
 
@@ -229,6 +236,14 @@ def _tier_sql(k: int, key: str, where: str = "true") -> str:
     {left.format("p", k, k - 1, "prev")}, {left.format("n", k, k - 1, "next")}"""
 
 
+def _origin_sql(k: int, key: str, later: str, where: str = "true") -> str:
+    """Matches of later tiers whose ends shared a key of tier k that wasn't one to one."""
+    bucket = f"(SELECT commit, {key} AS key, count(*) AS n FROM {{0}}{k - 1} WHERE {key} IS NOT NULL AND {where} GROUP BY 1, 2)"
+    ends = " ".join(f"JOIN (SELECT commit AS c, id, {key} AS key FROM {s}{k - 1} WHERE {where}) {s} ON {s}.c = l.commit AND {s}.id = l.{side}_id" for s, side in (("p", "prev"), ("n", "next")))
+    return f"""SELECT l.commit, l.prev_id, l.next_id FROM ld l {ends} JOIN {bucket.format("p")} x ON x.commit = l.commit AND x.key = p.key JOIN {bucket.format("n")} y ON y.commit = l.commit AND y.key = p.key
+        WHERE p.key = n.key AND x.n + y.n > 2 AND l.tier IN {later}"""
+
+
 _LADDER_SQL = f"""WITH RECURSIVE sd AS (SELECT conv_id, turn, role, false AS later, role || '#' || turn AS name, text FROM conversations UNION ALL
         SELECT conv_id, turn, role, true, CASE WHEN (conv_id + turn) % 6 = 0 THEN role || '#' || turn ELSE 'n' || turn END,
         CASE (conv_id + turn) % 6 WHEN 2 THEN replace(text, ' ', '  ') WHEN 3 THEN translate(text, '{_SMALL}', '{_LARGE}') WHEN 4 THEN text || ' one two three' WHEN 5 THEN 'gone' ELSE text END FROM conversations),
@@ -253,6 +268,8 @@ ORACLE_SQL = {
         pr AS (SELECT 0 AS commit, prev_id, next_id, shared / (x.n + y.n - shared)::DOUBLE AS score FROM c JOIN n x ON x.id = prev_id JOIN n y ON y.id = next_id WHERE shared / (x.n + y.n - shared)::DOUBLE >= 0.5),
         {_greedy_sql("pr")} SELECT prev_id, next_id, round(score, 6) AS score, ambiguity_size FROM gr""",
     "full_ladder_conversations": _LADDER_SQL + " SELECT commit, prev_id, next_id, tier, score, ambiguity_size FROM ld",
+    "ladder_audit": _LADDER_SQL + f""", og AS ({_origin_sql(1, "name", "('L2', 'L3', 'L3b', 'L4')")} UNION ALL {_origin_sql(2, "raw", "('L3', 'L3b', 'L4')")} UNION ALL {_origin_sql(3, "token", "('L3', 'L3b', 'L4')")} UNION ALL {_origin_sql(4, "alpha", "('L3b', 'L4')")} UNION ALL {_origin_sql(5, "alpha", "('L4')", f"size >= {matching.LEAST_NODES}")}),
+        oc AS (SELECT commit, prev_id, next_id, count(*) AS n FROM og GROUP BY 1, 2, 3) SELECT commit, prev_id, next_id, tier, coalesce(n, 0) AS origins FROM ld LEFT JOIN oc USING (commit, prev_id, next_id) WHERE tier <> 'L1'""",
     "ladder_stats": _LADDER_SQL + """ SELECT tier, count(*) AS matches, count(*) FILTER (ambiguity_size > 1)::BIGINT AS ambiguous, CASE WHEN tier = 'L4' THEN count(score)::BIGINT END AS verified, CASE WHEN tier = 'L4' THEN 'tied-candidates' ELSE 'unique-by-construction' END AS meaning FROM ld GROUP BY tier""",
     "benchmark_contamination": f"""WITH t AS (SELECT text, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text), w AS (SELECT doc_id, copies, {_WS} AS ws FROM t), g AS (SELECT doc_id, copies, unnest({_grams_sql("ws")}) AS g FROM w),
         iw AS (SELECT item_id, {_WS} AS ws FROM benchmark), ig AS (SELECT item_id, unnest({_grams_sql("ws")}) AS g FROM iw), n AS (SELECT item_id, count(*) AS n FROM ig GROUP BY 1)

@@ -74,6 +74,19 @@ def test_ladder_tiers_in_order(spark):
     assert {r["ambiguity_size"] for r in found.where("tier = 'L3c'").collect()} == {2}
 
 
+def test_audit_names_the_buckets_a_match_came_out_of(spark):
+    """Two equal texts under one name on each side: refused by every exact tier, and told apart by their grams alone."""
+    twin = {"name": "t", "raw": "r", "token": "t", "alpha": "al", "alpha_self": "as"}
+    prev = side(spark, [twin | {"id": 1, "grams": [1, 2, 3]}, twin | {"id": 2, "grams": [7, 8, 9]}, {"id": 3, "name": "c", "raw": "c"}])
+    next = side(spark, [twin | {"id": 11, "grams": [1, 2, 3]}, twin | {"id": 12, "grams": [7, 8, 6]}, {"id": 13, "name": "d", "raw": "c"}])
+    found, refused = matching.ladder(prev, next)
+    audited = matching.audit(prev, next, found, refused)
+    got = {(r["prev_id"], r["next_id"], r["tier"]): [(o["tier"], o["prev_count"], o["next_count"]) for o in r["origins"]] for r in audited.collect()}
+    every = [("L1", 2, 2), ("L2", 2, 2), ("L2", 2, 2), ("L3", 2, 2), ("L3b", 2, 2)]
+    assert got == {(1, 11, "L4"): every, (2, 12, "L4"): every, (3, 13, "L2"): []}
+    assert tuple(matching.audit_summary(audited).first()) == (3, 2, 1)
+
+
 def test_born_in_file_blocks_its_own_file_only(spark):
     added = [(0, 0, 1, 9)]
     prev = side(spark, [{"id": 1, "name": "f", "raw": "r"}])

@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.functions import hashing
+from lamina.functions import hashing, rationale
 from lamina.functions.text import subject_end
 from lamina.operators import asof, evolution, lifecycle, lineage, matching
 from lamina.operators.graph import chain_roots, settled
-from lamina.sources import code, history
+from lamina.sources import code, golden, history
 
 LAYERS = ("profile", "raw", "token", "alpha", "shape")
 
@@ -26,10 +26,11 @@ LAYERS = ("profile", "raw", "token", "alpha", "shape")
 @dataclass(frozen=True)
 class Index:
     revisions: DataFrame  # repo, commit, sha, topo, id, node, stable_key, lineage, name, path, and the hash vector
-    matches: DataFrame  # commit, prev_id, next_id, tier, score, ambiguity_size
+    matches: DataFrame  # commit, prev_id, next_id, tier, score, ambiguity_size, and both revisions: prev_node, next_node
     changes: DataFrame  # repo, commit, topo, stable_key, name, path, change_level, sig_changed
     ambiguities: DataFrame
     discontinuities: DataFrame  # repo, commit, topo, stable_key, name, path, previous_entity: a path that is taken again
+    audited: DataFrame  # matches below L1 with the refused buckets that they came out of
 
     def entities_for(self, path: str, name: str) -> DataFrame:
         """Entities that ever were name at path, those with most revisions first."""
@@ -79,6 +80,29 @@ class Index:
         return lifecycle.excursions(lives)
 
 
+def _placed(df: DataFrame, *more: str) -> DataFrame:
+    """sha, path, symbol and occurrence of rows with commit, path and name, and more columns."""
+    occurrence = F.coalesce(F.nullif(F.split_part("name", F.lit("#"), F.lit(2)), F.lit("")).cast("int"), F.lit(0))
+    return df.select(F.substring_index("commit", "@", -1).alias("sha"), "path", F.split_part("name", F.lit("#"), F.lit(1)).alias("symbol"), occurrence.alias("occurrence"), *more)
+
+
+def evaluate(built: Index, commits: DataFrame, cases: DataFrame, documents: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Golden cases held against an index of one repository; documents and quotes as golden.evaluate_evidence takes them."""
+    ends = commits.select("topo", "sha")
+    out = built.abandoned(commits).select("entity", "birth", "death", "strength")
+    out = out.join(ends.select(F.col("topo").alias("birth"), F.col("sha").alias("introduce_at")), "birth").join(ends.select(F.col("topo").alias("death"), F.col("sha").alias("remove_at")), "death")
+    places = _placed(built.revisions, F.col("stable_key").alias("entity")).select("entity", "path", "symbol").distinct()
+    found = [_placed(built.changes, "change_level"), _placed(built.discontinuities), out.join(places, "entity"), _placed(built.revisions, "node"), built.matches]
+    return golden.evaluate(cases, *found, documents, quotes)
+
+
+def messages(commits: DataFrame, markdown: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Commit messages as documents, and the reasons that they state as quotes."""
+    documents = commits.select(F.lit("commit_message").alias("doc_type"), F.col("sha").alias("external_id"), "message")
+    spans = documents.select("doc_type", "external_id", F.explode(rationale.rationale_spans(F.col("message"), markdown)).alias("s"))
+    return documents.drop("message"), spans.select("doc_type", "external_id", F.lit("stated").alias("tier"), "s.quoted_text")
+
+
 def read_sources(specs: DataFrame, repo: str) -> DataFrame:
     """specs (sha, path) with the source of each file; null where there is none."""
 
@@ -144,7 +168,8 @@ def build(commits: DataFrame, sources: Callable[[DataFrame], DataFrame]) -> Inde
     ended = revisions.groupBy(key).agg(F.max("topo").alias("topo"))
     occupants = revisions.select(key, "topo", "name", F.col("stable_key").alias("entity")).join(ended, ["key", "topo"])
     discontinuities = evolution.resurrected(fresh, occupants).drop("previous_key")
-    return Index(revisions, matches, changes, refused, settled(discontinuities))
+    both_ends = matches.join(known.withColumnRenamed("before_node", "prev_node"), ["commit", "prev_id"], "left").withColumn("next_node", F.concat_ws("@", "commit", "next_id"))
+    return Index(revisions, settled(both_ends), changes, refused, settled(discontinuities), matching.audit(prev, next, matches, refused))
 
 
 def index_repository(spark, repo: str, until: str = "HEAD") -> tuple[Index, DataFrame]:

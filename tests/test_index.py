@@ -1,7 +1,7 @@
 import subprocess
 
 from lamina.plans import index
-from lamina.sources import history
+from lamina.sources import golden, history
 
 BODY = "def {0}(x):\n    total = x + {1}\n    for k in range(total):\n        total += k * {1}\n        print(total, k, x, {1})\n    return total\n\n"
 
@@ -129,3 +129,27 @@ def test_a_path_taken_again(spark, tmp_path):
     assert [r["topo"] for r in built.evolution_of(born[0, "f"]).collect()] == [0, 1] and built.survivors("f").first()["stable_key"] == born[2, "f"]
     moves = built.moves().collect()
     assert [(r["name"], r["moved_from"], r["path"], r["tier"]) for r in moves] == [("h", "b.py", "c.py", "L1")]
+
+
+def test_golden_cases_of_a_repository(spark, tmp_path):
+    repo = Repo(tmp_path / "r")
+    first = repo.commit("start", a=BODY.format("one", 1) + BODY.format("gone", 3))
+    second = repo.commit("name it, because one says nothing", a=BODY.format("uno", 1) + BODY.format("gone", 3))
+    third = repo.commit('Revert "gone"', a=BODY.format("uno", 1))
+    anchors = [f"{{anchor: {{commit: {sha}, path: a.py, symbol: {name}}}, transition: {{expect_tier_at_most: {tier}}}}}" for sha, name, tier in ((first, "one", "L1"), (second, "uno", "L3b"), (third, "uno", "L1"))]
+    place = "difficulty: hard, entity: {path: a.py, symbol: %s}"
+    text = f"""repo: {{name: r}}
+cases:
+- {{id: chain, kind: lineage, difficulty: hard, chain: [{", ".join(anchors)}]}}
+- {{id: level, kind: change_level, expect: alpha, at_commit: {second}, {place % "uno"}}}
+- {{id: excursion, kind: excursion, expect_strength_at_least: A, introduce_at: {first}, remove_at: {third}, {place % "gone"}}}
+- {{id: stays, kind: excursion, expect: absent, introduce_at: {first}, remove_at: {third}, {place % "uno"}}}
+- {{id: slot, kind: discontinuity, expect: absent, at_commit: {second}, {place % "uno"}}}
+- {{id: stated, kind: evidence, difficulty: easy, at_commit: {second}, expect_spans: [{{contains: because one, tier: stated}}]}}
+- {{id: silent, kind: evidence, difficulty: easy, at_commit: {first}, expect_spans: []}}
+"""
+    (tmp_path / "f.yaml").write_text(text)
+    built, commits = index.index_repository(spark, str(repo.at))
+    results = index.evaluate(built, commits, golden.read_cases(spark, str(tmp_path / "f.yaml")), *index.messages(commits))
+    assert {r["id"]: r["status"] for r in results.collect()} == dict.fromkeys(("chain", "level", "excursion", "stays", "slot", "stated", "silent"), "pass")
+    assert [(r["tier"], len(r["origins"])) for r in built.audited.collect()] == [("L3b", 0)]

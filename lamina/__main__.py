@@ -4,30 +4,44 @@ from __future__ import annotations
 
 import sys
 
+WORDS = {"list": 1, "query": 3, "hotspots": 2, "abandoned": 2, "why": 3}
 
-def main(args: list[str]) -> int:
-    if not args or args[0] not in ("list", "query", "hotspots", "abandoned", "why"):
-        print(__doc__, file=sys.stderr)
-        return 2
-    from lamina import queries, session
+
+def run(args: list[str]) -> str:
+    from lamina import queries, render, session
 
     if args[0] == "list":
-        print("\n".join(sorted(queries.QUERIES)))
-        return 0
+        return "\n".join(sorted(queries.QUERIES))
+    if args[0] == "query" and args[1] not in queries.QUERIES:
+        raise render.UnknownTarget(f"{args[1]}: no such query")
+    path, name = render.target(args[2]) if args[0] == "why" else ("", "")
     spark = session.build()
     if args[0] == "query":
         queries.QUERIES[args[1]](spark, args[2]).show(50, truncate=False)
-        return 0
+        return ""
     from lamina.plans import index
 
     built, commits = index.index_repository(spark, args[1])
     if args[0] == "hotspots":
-        built.hotspots().show(truncate=False)
-    elif args[0] == "abandoned":
-        built.abandoned(commits).show(50, truncate=False)
-    else:
-        path, _, name = args[2].rpartition(":")
-        built.timeline(path, name).show(200, truncate=False)
+        return render.hotspots(built.churn())
+    if args[0] == "abandoned":
+        return render.abandoned(built.abandoned(commits), built.revisions)
+    return render.timeline(built.timeline(path, name), path, name, built.survivors(name))
+
+
+def main(args: list[str]) -> int:
+    if not args or len(args) != WORDS.get(args[0], 0):
+        print(__doc__, file=sys.stderr)
+        return 2
+    from lamina import render
+
+    try:
+        print(run(args))
+    except Exception as error:
+        if (line := render.explain(error)) is None:
+            raise
+        print(line, file=sys.stderr)
+        return 1
     return 0
 
 

@@ -120,3 +120,26 @@ def ambiguity_meaning(tier: Column) -> Column:
 
 def json_valid(value: Column) -> Column:
     return F.try_parse_json(value).isNotNull()
+
+
+# What an address leaves as it is and the form encoding doesn't, and blanks.
+_ADDRESS = {"+": "%20", "%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}
+
+
+def _encoded(part: Column) -> Column:
+    out = F.url_encode(part)
+    for form, plain in _ADDRESS.items():
+        out = F.replace(out, F.lit(form), F.lit(plain))
+    return out
+
+
+def timeline_address(key: Column, sha: Column) -> Column:
+    """#key or, where a commit is given, #key/sha; both percent-encoded, so the slash is the only one."""
+    return F.concat(F.lit("#"), _encoded(key), F.when(F.coalesce(sha, F.lit("")) != "", F.concat(F.lit("/"), _encoded(sha))).otherwise(""))
+
+
+def parse_address(address: Column) -> Column:
+    """struct<key, sha> of an address with or without a commit."""
+    parts = F.split(F.regexp_replace(address, "^#", ""), "/", 2)
+    plain = lambda c: F.trim(F.url_decode(F.replace(F.coalesce(c, F.lit("")), F.lit("+"), F.lit("%2B"))))
+    return F.struct(plain(F.get(parts, F.lit(0))).alias("key"), plain(F.get(parts, F.lit(1))).alias("sha"))

@@ -125,9 +125,17 @@ def valid_props(spark: SparkSession, d: str) -> DataFrame:
     return tables.read(spark, d, "events").select("event_type", text.json_valid(props).alias("valid")).groupBy("event_type", "valid").agg(F.count("*").alias("events"))
 
 
+def timeline_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of parts, every second at one commit, and what they read back as."""
+    key = F.concat_ws("/", "p_type", "p_name")
+    sha = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("c+"), F.col("p_partkey").cast("string")))
+    made = tables.read(spark, d, "part").select("p_partkey", text.timeline_address(key, sha).alias("address"))
+    return made.withColumn("read", text.parse_address(F.col("address"))).select("p_partkey", "address", "read.key", "read.sha")
+
+
 QUERIES = {
     "timeline_full": timeline_full, "linked_claims": linked_claims, "rationale_summary": rationale_summary, "earliest_evidence": earliest_evidence, "ancestors_of_commits": ancestors_of_commits, "namesakes_alive": namesakes_alive, "last_deletes": last_deletes, "discontinuity_totals": discontinuity_totals, "pass_report": pass_report,
-    "rename_miner": rename_miner, "churn_miner": churn_miner, "best_explained": best_explained, "store_rules": store_rules, "signature_kinds": signature_kinds, "valid_props": valid_props,
+    "rename_miner": rename_miner, "churn_miner": churn_miner, "best_explained": best_explained, "store_rules": store_rules, "signature_kinds": signature_kinds, "valid_props": valid_props, "timeline_addresses": timeline_addresses,
 }
 
 _REACH_SQL = "rh AS (SELECT commit, count(*) AS entities FROM ch GROUP BY 1)"
@@ -158,5 +166,6 @@ ORACLE_SQL = {
     "store_rules": """WITH o AS (SELECT o_orderpriority AS here, lag(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders)
         SELECT 'split_identity' AS rule, count(*) AS violations FROM (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1) UNION ALL SELECT 'cross_repository', count(*) FROM o WHERE before IS NOT NULL AND before <> here""",
     "signature_kinds": f"WITH w AS (SELECT coalesce(lang, '') AS lang, {M._WS} AS ws FROM documents WHERE text IS NOT NULL), g AS (SELECT lang, len({M._grams_sql('ws')}) AS n FROM w) SELECT lang, CASE WHEN n <= 200 THEN 'exact' ELSE 'sketch' END AS kind, count(*) AS documents FROM g GROUP BY 1, 2",
+    "timeline_addresses": "SELECT p_partkey, '#' || url_encode(p_type || '/' || p_name) || CASE WHEN p_partkey % 2 = 0 THEN '/' || url_encode('c+' || p_partkey) ELSE '' END AS address, p_type || '/' || p_name AS key, CASE WHEN p_partkey % 2 = 0 THEN 'c+' || p_partkey ELSE '' END AS sha FROM part",
     "valid_props": "SELECT event_type, json_valid(CASE WHEN event_id % 11 = 0 THEN substr(props, 1, 3) ELSE props END) AS valid, count(*) AS events FROM events GROUP BY 1, 2",
 }

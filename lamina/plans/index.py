@@ -55,10 +55,13 @@ class Index:
         wanted = self.revisions.where((F.col("path") == path) & (F.col("name") == name)).select("stable_key").distinct()
         return self.changes.join(wanted, "stable_key", "left_semi").orderBy("stable_key", "topo")
 
-    def hotspots(self, limit: int = 20) -> DataFrame:
+    def churn(self) -> DataFrame:
         real = self.changes.where("change_level not in ('none', 'birth', 'death')")
         counted = real.groupBy("stable_key").agg(F.sum((F.col("change_level") == "shape").cast("bigint")).alias("structural"), F.count("*").alias("changes"), F.max_by("name", "topo").alias("name"), F.max_by("path", "topo").alias("path"))
-        return counted.orderBy(F.desc("structural"), F.desc("changes"), "stable_key").limit(limit)
+        return counted
+
+    def hotspots(self, limit: int = 20) -> DataFrame:
+        return self.churn().orderBy(F.desc("structural"), F.desc("changes"), "stable_key").limit(limit)
 
     def abandoned(self, commits: DataFrame) -> DataFrame:
         """Entities that were born and removed, graded; not those whose content lives on in another entity."""

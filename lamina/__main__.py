@@ -1,10 +1,12 @@
-"""python -m lamina list | query NAME SF_DIR | hotspots REPO | abandoned REPO | why REPO PATH:NAME"""
+"""python -m lamina list | query NAME SF_DIR | hotspots REPO [STORE] | abandoned REPO [STORE] | why REPO PATH:NAME [STORE]
+
+STORE is a folder that keeps the index of REPO for the next call."""
 
 from __future__ import annotations
 
 import sys
 
-WORDS = {"list": 1, "query": 3, "hotspots": 2, "abandoned": 2, "why": 3}
+WORDS = {"list": (1,), "query": (3,), "hotspots": (2, 3), "abandoned": (2, 3), "why": (3, 4)}
 
 
 def run(args: list[str]) -> str:
@@ -21,7 +23,8 @@ def run(args: list[str]) -> str:
         return ""
     from lamina.plans import index
 
-    built, commits = index.index_repository(spark, args[1])
+    least = WORDS[args[0]][0]
+    built, commits = index.indexed(spark, args[1], args[least] if len(args) > least else None)
     if args[0] == "hotspots":
         return render.hotspots(built.churn())
     if args[0] == "abandoned":
@@ -30,7 +33,7 @@ def run(args: list[str]) -> str:
 
 
 def main(args: list[str]) -> int:
-    if not args or len(args) != WORDS.get(args[0], 0):
+    if not args or len(args) not in WORDS.get(args[0], ()):
         print(__doc__, file=sys.stderr)
         return 2
     from lamina import render

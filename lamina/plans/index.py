@@ -8,18 +8,21 @@ share commits or paths share nothing else. commit is the repository and the comm
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina import versions
 from lamina.functions import hashing, rationale
 from lamina.functions.text import subject_end
 from lamina.operators import asof, evolution, lifecycle, lineage, matching
 from lamina.operators.graph import chain_roots, settled
 from lamina.sources import code, golden, history
 
+STATE = "scope string, tip string, version string"
 LAYERS = ("profile", "raw", "token", "alpha", "shape")
 
 
@@ -175,6 +178,45 @@ def build(commits: DataFrame, sources: Callable[[DataFrame], DataFrame]) -> Inde
     return Index(revisions, settled(both_ends), changes, refused, settled(discontinuities), matching.audit(prev, next, matches, refused))
 
 
-def index_repository(spark, repo: str, until: str = "HEAD") -> tuple[Index, DataFrame]:
+def index_repository(spark: SparkSession, repo: str, until: str = "HEAD") -> tuple[Index, DataFrame]:
     commits = settled(history.read_history(spark, repo, until))
     return build(commits, lambda specs: read_sources(specs, repo)), commits
+
+
+def save(built: Index, commits: DataFrame, root: str, tip: str) -> None:
+    """The tables of an index of a repository's whole history up to tip. Its state is removed first and written last: an index is there as a whole or not at all."""
+    spark = commits.sparkSession
+    spark.createDataFrame([], STATE).write.mode("overwrite").parquet(f"{root}/state")
+    for name, df in {**{f.name: getattr(built, f.name) for f in fields(built)}, "commits": commits}.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+    spark.createDataFrame([("repository", tip, versions.index_version())], STATE).coalesce(1).write.mode("overwrite").parquet(f"{root}/state")
+
+
+def load(spark: SparkSession, root: str, tip: str) -> tuple[Index, DataFrame] | None:
+    """The stored index, None where there is none or it ends elsewhere; one that another version wrote is refused."""
+    try:
+        state = spark.read.schema(STATE).parquet(f"{root}/state").first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if state is None:
+        return None
+    versions.require(state["version"], versions.index_version(), f"the index in {root}")
+    if (state["scope"], state["tip"]) != ("repository", tip):
+        return None
+    tables = {name: spark.read.parquet(f"{root}/{name}") for name in [*(f.name for f in fields(Index)), "commits"]}
+    commits = tables.pop("commits")
+    return Index(**tables), commits
+
+
+def indexed(spark: SparkSession, repo: str, root: str | None, until: str = "HEAD") -> tuple[Index, DataFrame]:
+    """The index of a repository from root if it ends at the same commit; else it is built, and stored there."""
+    if root is None:
+        return index_repository(spark, repo, until)
+    tip = history.tip(repo, until)
+    if found := load(spark, root, tip):
+        return found
+    built, commits = index_repository(spark, repo, tip)
+    save(built, commits, root, tip)
+    return load(spark, root, tip)

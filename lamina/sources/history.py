@@ -107,13 +107,24 @@ def parse_commits(output: bytes) -> dict[str, list[dict]]:
     return found
 
 
-def _git(repo: str, *args: str, feed: str | None = None) -> bytes:
-    return subprocess.run(["git", "-C", repo, *args], check=True, capture_output=True, input=None if feed is None else feed.encode()).stdout
+class GitFailed(RuntimeError):
+    """What git said; a worker's error reaches the driver as text only."""
+
+
+def _git(repo: str, *args: str, feed: bytes | None = None) -> bytes:
+    done = subprocess.run(["git", "-C", repo, *args], check=False, capture_output=True, input=feed)
+    if done.returncode:
+        raise GitFailed(f"git {args[0]}: {done.stderr.decode(errors='replace').strip()}")
+    return done.stdout
+
+
+def tip(repo: str, until: str = "HEAD") -> str:
+    return _git(repo, "rev-parse", "--verify", f"{until}^{{commit}}").decode().strip()
 
 
 def read_blobs(repo: str, specs: list[str]) -> Iterator[tuple[str, bytes | None]]:
     """Content of each revision:path; None where there is none. Contents are checked against their ids."""
-    out = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input="\n".join(specs).encode() + b"\n", check=True, capture_output=True).stdout
+    out = _git(repo, "cat-file", "--batch", feed="\n".join(specs).encode() + b"\n")
     at = 0
     for spec in specs:
         end = out.index(b"\n", at)
@@ -142,19 +153,19 @@ class HistoryReader(DataSourceReader):
 
     def partitions(self) -> list[_Range]:
         if _git(self.repo, "rev-parse", "--is-shallow-repository").strip() == b"true":
-            raise ValueError("a shallow clone has no whole history")
+            raise GitFailed("fatal: a shallow clone has no whole history")
         shas = _git(self.repo, "rev-list", "--reverse", "--topo-order", self.until).decode().split()
         return [_Range(k, shas[k : k + PER_PARTITION]) for k in range(0, len(shas), PER_PARTITION)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         first, shas = partition.value
         number = {sha: first + k for k, sha in enumerate(shas)}
-        listed = _git(self.repo, "log", "--no-walk=unsorted", "--stdin", "-z", "--format=%H%x1f%P%x1f%an%x1f%aI%x1f%cI%x1f%B", feed="\n".join(shas)).decode("utf-8", "replace")
+        listed = _git(self.repo, "log", "--no-walk=unsorted", "--stdin", "-z", "--format=%H%x1f%P%x1f%an%x1f%aI%x1f%cI%x1f%B", feed="\n".join(shas).encode()).decode("utf-8", "replace")
         facts = {f[0]: f[1:] for x in listed.split("\0") if len(f := x.strip("\n").split("\x1f", 5)) == 6}
         # a merge's changes are those against its first parent, which is the state that it goes on from
         asked = "\n".join(" ".join([sha, *facts[sha][0].split()[:1]]) for sha in shas) + "\n"
         patch = ("--raw", "--no-abbrev", "-p", "-U0", "--no-color", "--no-ext-diff", "--no-textconv", "--src-prefix=a/", "--dst-prefix=b/")
-        raw = _git(self.repo, "diff-tree", "--stdin", "-r", "--root", *patch, f"-M{self.rename}%", f"-C{self.copy}%", feed=asked)
+        raw = _git(self.repo, "diff-tree", "--stdin", "-r", "--root", *patch, f"-M{self.rename}%", f"-C{self.copy}%", feed=asked.encode())
         changes = parse_commits(raw)
         for sha in shas:
             parents, author, authored, committed, message = facts[sha]

@@ -10,7 +10,7 @@ EXTRACTOR = "rationale-1"
 MARKDOWN_EXTRACTOR = "rationale-markdown-1"
 CLAIM = "claim-1"
 SERIALIZER = "1"
-GRAMMARS = {"python": "py-stdlib-1", "typescript": "ts-lexer-1"}
+GRAMMARS = {"python": "py-stdlib-1"}
 
 
 def shape_profile(family: str) -> str:
@@ -21,6 +21,11 @@ def walk_version(rename: int = 30, copy: int = 40, harder: bool = False) -> str:
     return f"{WALK}/rename={rename}/copy={copy}/harder={int(harder)}"
 
 
+def index_version() -> str:
+    """Of everything that a stored index depends on."""
+    return "/".join([walk_version(), *map(shape_profile, sorted(GRAMMARS)), match_version(), EXCURSION])
+
+
 def match_version(same_file: float = 0.5, cross_file: float = 0.7, min_nodes: int = 25) -> str:
     return f"{MATCH}/{SIGNATURE}/same={same_file}/cross={cross_file}/nodes={min_nodes}/exact-recall"
 

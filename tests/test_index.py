@@ -1,5 +1,7 @@
 import subprocess
 
+import pytest
+
 from lamina.plans import index
 from lamina.sources import golden, history
 
@@ -153,3 +155,35 @@ cases:
     results = index.evaluate(built, commits, golden.read_cases(spark, str(tmp_path / "f.yaml")), *index.messages(commits))
     assert {r["id"]: r["status"] for r in results.collect()} == dict.fromkeys(("chain", "level", "excursion", "stays", "slot", "stated", "silent"), "pass")
     assert [(r["tier"], len(r["origins"])) for r in built.audited.collect()] == [("L3b", 0)]
+
+
+def test_a_stored_index_is_whole_of_this_version_and_of_this_commit(spark, tmp_path, monkeypatch):
+    repo = Repo(tmp_path / "r")
+    repo.commit("start", a=BODY.format("one", 1))
+    root = str(tmp_path / "store")
+    built, _ = index.indexed(spark, str(repo.at), root)
+    assert [r["change_level"] for r in built.changes.collect()] == ["birth"]
+    tip = history.tip(str(repo.at))
+    with monkeypatch.context() as m:
+        m.setattr(index, "index_repository", None)  # nothing is built again
+        again, commits = index.indexed(spark, str(repo.at), root)
+    assert again.changes.collect() == built.changes.collect() and commits.count() == 1 and again.audited.count() == 0
+    with monkeypatch.context() as m:
+        m.setattr(index.versions, "EXCURSION", "other")
+        with pytest.raises(index.versions.VersionMismatch):
+            index.load(spark, root, tip)
+    repo.commit("more", b=BODY.format("two", 2))
+    assert index.load(spark, root, history.tip(str(repo.at))) is None
+    later, _ = index.indexed(spark, str(repo.at), root)
+    assert sorted(r["name"] for r in later.changes.collect()) == ["one", "two"] and index.load(spark, root, tip) is None
+    spark.createDataFrame([], index.STATE).write.mode("overwrite").parquet(f"{root}/state")  # a pass that was stopped
+    assert index.load(spark, root, history.tip(str(repo.at))) is None
+
+
+def test_a_shallow_clone_is_refused(spark, tmp_path):
+    repo = Repo(tmp_path / "r")
+    for k in range(2):
+        repo.commit(f"c{k}", a=BODY.format("one", k))
+    subprocess.run(["git", "clone", "-q", "--depth", "1", f"file://{repo.at}", str(tmp_path / "s")], check=True)
+    with pytest.raises(Exception, match="shallow clone"):
+        history.read_history(spark, str(tmp_path / "s")).count()

@@ -1,11 +1,10 @@
-import subprocess
-
 import pytest
 from pyspark.sql import functions as F
 
 from lamina import __main__ as command
 from lamina import render
 from lamina.functions import text
+from lamina.sources import history
 from lamina.versions import VersionMismatch
 
 CHANGES = "stable_key string, topo int, commit string, change_level string, tier string, ambiguity_size long, path string, name string, moved_from string"
@@ -32,8 +31,8 @@ def test_lists_hide_and_count_tests(spark):
 
 
 def test_known_failures_are_one_line(tmp_path, capsys):
-    with pytest.raises(subprocess.CalledProcessError) as failed:
-        subprocess.run(["git", "-C", str(tmp_path / "no"), "log"], check=True, capture_output=True, env={"LC_ALL": "C", "PATH": "/usr/bin:/bin"})
+    with pytest.raises(history.GitFailed) as failed:
+        history._git(str(tmp_path / "no"), "log")
     assert render.explain(failed.value).endswith("(REPO doesn't exist)")
     assert render.explain(VersionMismatch("rebuild it")) == "rebuild it" and render.explain(KeyError("x")) is None
     assert command.main([]) == 2 and command.main(["why", "x"]) == 2
